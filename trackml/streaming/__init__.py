@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference reads static files only: it has no stream source, watermark,
+window, state or sink, so nothing is built here.  A fitted ``PipelineModel``
+from :mod:`trackml.plans.jobs` is a plain Spark ML transformer; its
+``transform`` also accepts a streaming DataFrame from ``spark.readStream``.
+"""
