@@ -66,17 +66,16 @@ def regression_metrics(predictions: DataFrame, label_col: str = LABEL,
                        decimals: int = METRIC_DECIMALS) -> DataFrame:
     """A5 (and A6 on training rows): ``n_rows, rmse, r2`` in one pass.
 
-    r2 = 1 - SSE/SST with SST around the mean of the same rows, computed from
-    sums of y and y^2 so no second pass is needed.
+    r2 = 1 - MSE / var_pop(y) over the same rows.  ``var_pop`` merges partial
+    moments per partition (numerically stable, no second pass over the data).
     """
     y = F.col(label_col).cast("double")
     err = y - F.col(prediction_col)
-    agg = predictions.agg(F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("sse"),
-                          F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    agg = predictions.agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"),
+                          F.var_pop(y).alias("var_y"))
     return agg.select(F.col("n").alias("n_rows"),
-                      F.round(F.sqrt(F.col("sse") / F.col("n")), decimals).alias("rmse"),
-                      F.round(F.lit(1.0) - F.col("sse") / sst, decimals).alias("r2"))
+                      F.round(F.sqrt(F.col("mse")), decimals).alias("rmse"),
+                      F.round(F.lit(1.0) - F.col("mse") / F.col("var_y"), decimals).alias("r2"))
 
 
 def evaluator_rmse(predictions: DataFrame, label_col: str = LABEL,

@@ -81,19 +81,29 @@ def fit_indexers(prepared: DataFrame, train: DataFrame, index_on: str = "all"):
     raise ValueError("index_on must be 'all' or 'train'")
 
 
-def _setup(inputs, handle_invalid, num_folds, index_on, name):
-    prepared, names = prepare_genre(inputs, handle_invalid, num_folds, name)
+def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
+    if prepared is None:
+        prepared, names = prepare_genre(inputs, handle_invalid, num_folds, name)
+    else:
+        prepared, names = prepared
+        if num_folds and prepare.FOLD not in prepared.columns:
+            prepared = prepare.assign_folds(prepared, num_folds)
     train, test = prepare.split_by_subset(prepared)
     sizes = subset_sizes(prepared)
     label_model, feature_model = fit_indexers(prepared, train, index_on)
     return prepared, names, train, test, sizes, label_model, feature_model
 
 
-def run_genre(inputs: dict[str, DataFrame], estimator, handle_invalid: str = "error",
-              index_on: str = "all", name: str = "genre") -> GenreRun:
-    """Entry A (LogReg or RF on a fixed partition)."""
+def run_genre(inputs: dict[str, DataFrame] | None, estimator, handle_invalid: str = "error",
+              index_on: str = "all", name: str = "genre",
+              prepared: tuple[DataFrame, list[str]] | None = None) -> GenreRun:
+    """Entry A (LogReg or RF on a fixed partition).
+
+    ``prepared`` is an already staged ``(frame, feature names)`` pair from
+    :func:`prepare_genre`, shared by several runs over the same inputs.
+    """
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
-        inputs, handle_invalid, None, index_on, name)
+        inputs, handle_invalid, None, index_on, name, prepared)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     model: PipelineModel = pipeline.fit(train)
     predictions = model.transform(test)
@@ -116,10 +126,11 @@ def run_genre_forest(inputs: dict[str, DataFrame], num_trees: int, max_depth: in
 def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
                  param_names: tuple[str, ...], num_folds: int = tuning.DEFAULT_FOLDS,
                  parallelism: int = 2, handle_invalid: str = "error", index_on: str = "all",
-                 seed: int = models.DEFAULT_SEED, name: str = "genre_cv") -> GenreRun:
+                 seed: int = models.DEFAULT_SEED, name: str = "genre_cv",
+                 prepared: tuple[DataFrame, list[str]] | None = None) -> GenreRun:
     """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored."""
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
-        inputs, handle_invalid, num_folds, index_on, name)
+        inputs, handle_invalid, num_folds, index_on, name, prepared)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     cv_model = tuning.cross_validate(pipeline, grid, train, num_folds, parallelism, seed)
     predictions = cv_model.transform(test)

@@ -66,10 +66,9 @@ def read_features_csv(spark: SparkSession, path: str, key: str = SOURCE_KEY,
     names = header_columns(spark, path)
     if key not in names:
         raise ValueError(f"key column {key!r} not in header of {path}")
-    fields = [T.StructField(KEY if n == key else n, key_type if n == key else T.DoubleType())
-              for n in names]
+    fields = [T.StructField(n, key_type if n == key else T.DoubleType()) for n in names]
     raw = _delimited(spark, path, T.StructType(fields), header=True, sep=",")
-    return drop_malformed(raw, "features")
+    return drop_malformed(raw.withColumnRenamed(key, KEY), "features")
 
 
 def read_labels_tsv(spark: SparkSession, path: str,
@@ -97,16 +96,10 @@ def read_year_labels_csv(spark: SparkSession, path: str, key: str = SOURCE_KEY,
     names = header_columns(spark, path)
     if key not in names or YEAR not in names:
         raise ValueError(f"{path} needs columns {key!r} and {YEAR!r}")
-    fields = []
-    for n in names:
-        if n == key:
-            fields.append(T.StructField(KEY, key_type))
-        elif n == YEAR:
-            fields.append(T.StructField(YEAR, T.IntegerType()))
-        else:
-            fields.append(T.StructField(n, T.StringType()))
+    types = {key: key_type, YEAR: T.IntegerType()}
+    fields = [T.StructField(n, types.get(n, T.StringType())) for n in names]
     raw = _delimited(spark, path, T.StructType(fields), header=True, sep=",")
-    cleaned = drop_malformed(raw, "year_labels")
+    cleaned = drop_malformed(raw.withColumnRenamed(key, KEY), "year_labels")
     return cleaned.drop(*[c for c in YEAR_DROPPED if c in cleaned.columns])
 
 
