@@ -4,6 +4,7 @@ Everything here is plain Spark configuration: AQE decides join strategy at
 runtime (a side is broadcast only when its measured shuffle output is below
 ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise sort-merge),
 skewed join partitions are split, and partitions are coalesced after shuffles.
+A session handed in by a caller keeps its own settings.
 
 Multi-pass work (indexer fits, iterative training, k folds) reads a frame many
 times.  Instead of caching executor-local blocks, which are lost with the
@@ -25,13 +26,15 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # static threshold used by the planner on estimated sizes; AQE re-checks
-    # with the real shuffle sizes (same value) before converting a join
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from planner estimates (they can be far off for aggregates
+    # and joins); AQE broadcasts a join side only after its shuffle has been
+    # measured below this size, and uses sort-merge otherwise.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
