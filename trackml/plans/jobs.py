@@ -125,7 +125,8 @@ def run_genre_forest(inputs: dict[str, DataFrame], num_trees: int, max_depth: in
 
 def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
                  param_names: tuple[str, ...], num_folds: int = tuning.DEFAULT_FOLDS,
-                 parallelism: int = 2, handle_invalid: str = "error", index_on: str = "all",
+                 parallelism: int | None = None, handle_invalid: str = "error",
+                 index_on: str = "all",
                  seed: int = models.DEFAULT_SEED, name: str = "genre_cv",
                  prepared: tuple[DataFrame, list[str]] | None = None) -> GenreRun:
     """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored."""
