@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackml.functions.columns import hit
 from trackml.operators.indexing import INDEXED_LABEL, PREDICTED_LABEL, PREDICTION
 from trackml.operators.prepare import SUBSET
 from trackml.sources.files import KEY, LABEL
@@ -28,15 +29,11 @@ def subset_label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(SUBSET, LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _hit(label_col: str, prediction_col: str) -> F.Column:
-    return (F.col(prediction_col) == F.col(label_col)).cast("double")
-
-
 def accuracy(predictions: DataFrame, label_col: str = INDEXED_LABEL,
              prediction_col: str = PREDICTION, decimals: int = METRIC_DECIMALS) -> DataFrame:
     """A4 + P7: ``n_rows, n_correct, accuracy, test_error`` (error = 1 - accuracy)."""
     agg = predictions.agg(F.count(F.lit(1)).alias("n_rows"),
-                          F.sum(_hit(label_col, prediction_col)).cast("bigint").alias("n_correct"))
+                          F.sum(hit(label_col, prediction_col)).cast("bigint").alias("n_correct"))
     acc = F.col("n_correct") / F.col("n_rows")
     return agg.select("n_rows", "n_correct",
                       F.round(acc, decimals).alias("accuracy"),

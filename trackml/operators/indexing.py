@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorIndexer
 from pyspark.ml.feature import VectorIndexerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackml.functions import columns
 from trackml.operators.prepare import FEATURES
 from trackml.sources.files import LABEL
 
@@ -82,9 +82,8 @@ def label_decoder(label_model: StringIndexerModel, input_col: str = PREDICTION,
 
 def vector_slots(df: DataFrame, vector_col: str, names: list[str]) -> DataFrame:
     """Replace a vector column by one DOUBLE column per slot (for reports and checks)."""
-    arr = vector_to_array(F.col(vector_col))
     others = [c for c in df.columns if c != vector_col]
-    return df.select(*others, *[arr[i].alias(n) for i, n in enumerate(names)])
+    return df.select(*others, *columns.vector_slots(vector_col, names))
 
 
 def slot_names(df: DataFrame, vector_col: str = FEATURES) -> list[str] | None:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackml.functions.columns import key_bucket
 from trackml.sources.files import KEY, LABEL, SUBSET, YEAR
 
 FEATURES = "features"
@@ -102,13 +103,6 @@ def random_split(df: DataFrame, train_fraction: float, seed: int) -> tuple[DataF
     return train, test
 
 
-def key_bucket(key: Column, dtype: T.DataType, buckets: int) -> Column:
-    """Stable bucket of a key: ``key mod buckets`` for integers, else of its xxhash64."""
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.pmod(key, F.lit(buckets))
-    return F.pmod(F.xxhash64(key), F.lit(buckets))
-
-
 def key_split(df: DataFrame, train_fraction: float, buckets: int = 100,
               key: str = KEY) -> DataFrame:
     """R2, reproducible: label every row TRAIN/TEST from a bucket of its key.

@@ -18,6 +18,7 @@ from pyspark.ml.feature import IndexToString
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackml.functions.columns import rounded
 from trackml.operators import evaluate, indexing, models, prepare, tuning
 from trackml.plans import experiments, jobs
 from trackml.session import checkpoint_root
@@ -45,10 +46,6 @@ def _joined(spark, sf_dir) -> DataFrame:
     return prepare.join_tracks(i["splits"], i["labels"], i["features"])
 
 
-def _round(col: str, decimals: int) -> F.Column:
-    return F.round(F.col(col), decimals).alias(col)
-
-
 def _logreg_run(spark, sf_dir, inputs=None):
     return jobs.run_genre_logreg(inputs or _orders(spark, sf_dir))
 
@@ -233,8 +230,8 @@ def ols_year(spark, sf_dir):
            float(s.r2), int(s.numInstances))
     out = spark.createDataFrame([row], "slope double, intercept double, rmse double, "
                                        "r2 double, n_rows bigint")
-    return out.select(_round("slope", 8), _round("intercept", 6), _round("rmse", 6),
-                      _round("r2", 8), "n_rows")
+    return out.select(rounded("slope", 8), rounded("intercept", 6), rounded("rmse", 6),
+                      rounded("r2", 8), "n_rows")
 
 
 def regression_metrics(spark, sf_dir):
@@ -257,6 +254,20 @@ def year_coefficients(spark, sf_dir):
     return models.linear_coefficient_rows(spark, run.model, run.feature_names)
 
 
+def year_job(spark, sf_dir):
+    """Entry C as the reference reports it: training RMSE / r2 / iterations from
+    the summary (A6, M6) and RMSE on the held-out rows (A5), defaults
+    10 / 0.3 / 0.8, seeded random 70 / 30 split (rows)."""
+    run = jobs.run_year(fixtures.order_year_labels(spark, sf_dir),
+                        fixtures.order_features(spark, sf_dir))
+    t = run.training_metrics().first()
+    m = run.test_metrics().first()
+    return spark.createDataFrame(
+        [(float(t.rmse), float(t.r2), int(t.total_iterations), int(m.n_rows), float(m.rmse))],
+        "train_rmse double, train_r2 double, total_iterations int, n_test bigint, "
+        "test_rmse double")
+
+
 def objective_history(spark, sf_dir):
     """M6 of the default year job (rows)."""
     run = jobs.run_year(fixtures.order_year_labels(spark, sf_dir),
@@ -272,8 +283,8 @@ def _logreg_cv(spark, sf_dir):
 
 
 def _metric_columns(df):
-    return df.select("grid_id", *tuning.LOGREG_GRID_PARAMS, _round("avg_metric", 8),
-                     _round("std_metric", 8))
+    return df.select("grid_id", *tuning.LOGREG_GRID_PARAMS, rounded("avg_metric", 8),
+                     rounded("std_metric", 8))
 
 
 def logreg_cv_grid(spark, sf_dir):
@@ -343,6 +354,7 @@ QUERIES = {
     "ols_year": ols_year,
     "regression_metrics": regression_metrics,
     "year_coefficients": year_coefficients,
+    "year_job": year_job,
     "objective_history": objective_history,
     "logreg_cv_grid": logreg_cv_grid,
     "best_params": best_params,
