@@ -29,3 +29,13 @@ def test_category_zero_first(spark):
     assert 1 not in model.categoryMaps  # five distinct values → continuous
     cats = indexing.category_frame(spark, model, ["v", "i"]).collect()
     assert [(r.value, r.idx) for r in cats] == [(0.0, 0), (-1.0, 1), (2.0, 2), (5.0, 3)]
+
+
+def test_label_model_from_counts_equals_fit(spark):
+    words = "b a c c a d Zz zz é e a".split()
+    df = spark.createDataFrame([(x,) for x in words], "label string")
+    fitted = indexing.fit_label_indexer(df).labels
+    counts = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    assert indexing.label_model_from_counts(counts).labels == fitted

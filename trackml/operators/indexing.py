@@ -39,6 +39,22 @@ def label_frequencies(df: DataFrame, input_col: str = LABEL) -> DataFrame:
     return df.groupBy(input_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_order(counts: dict[str, int]) -> list[str]:
+    """Labels by descending count, equal counts in the string order Spark's
+    ``StringIndexer`` uses (UTF-16 code units)."""
+    return [lab for lab, _ in sorted(counts.items(),
+                                     key=lambda kv: (-kv[1], kv[0].encode("utf-16-be")))]
+
+
+def label_model_from_counts(counts: dict[str, int], input_col: str = LABEL,
+                            output_col: str = INDEXED_LABEL,
+                            handle_invalid: str = "error") -> StringIndexerModel:
+    """F2 from label counts already aggregated elsewhere (same model as
+    :func:`fit_label_indexer` on the rows the counts came from)."""
+    return StringIndexerModel.from_labels(label_order(counts), inputCol=input_col,
+                                          outputCol=output_col, handleInvalid=handle_invalid)
+
+
 def label_index_frame(spark: SparkSession, model: StringIndexerModel) -> DataFrame:
     """The fitted label order as data: ``label, idx``."""
     schema = T.StructType([T.StructField(LABEL, T.StringType()),

@@ -64,21 +64,53 @@ def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
     return staged, slot_names
 
 
+OTHER = "OTHER"
+
+
+def subset_label_counts(prepared: DataFrame) -> list:
+    """A1 + A2 in one pass: rows per (subset, label).
+
+    Subset values other than TRAIN/TEST (never used, as in the reference) are
+    folded into one group, so the result is at most 3 x classes rows.
+    """
+    subset = F.when(F.col(SUBSET).isin(TRAIN, TEST), F.col(SUBSET)).otherwise(F.lit(OTHER))
+    return (prepared.groupBy(subset.alias(SUBSET), F.col(LABEL))
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+
+
 def subset_sizes(prepared: DataFrame) -> dict[str, int]:
-    """A1 in one pass; the result has one row per subset value."""
-    return {r[SUBSET]: r["n_rows"] for r in evaluate.subset_counts(prepared).collect()}
+    """A1: rows per subset value."""
+    sizes: dict[str, int] = {}
+    for r in subset_label_counts(prepared):
+        sizes[r[SUBSET]] = sizes.get(r[SUBSET], 0) + r["n"]
+    return sizes
+
+
+def _label_counts(rows, subsets) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for r in rows:
+        if r[LABEL] is not None and r[SUBSET] in subsets:
+            counts[r[LABEL]] = counts.get(r[LABEL], 0) + r["n"]
+    return counts
 
 
-def fit_indexers(prepared: DataFrame, train: DataFrame, index_on: str = "all"):
+def fit_indexers(prepared: DataFrame, train: DataFrame, index_on: str = "all", counts=None):
     """F2 + F3.  ``all`` (reference behaviour) fits on train and test rows;
-    ``train`` fits on TRAIN only and keeps unseen labels/categories."""
+    ``train`` fits on TRAIN only and keeps unseen labels/categories.
+
+    ``counts`` are :func:`subset_label_counts` rows when already computed; the
+    label order is then taken from them instead of another pass.
+    """
+    if index_on not in ("all", "train"):
+        raise ValueError("index_on must be 'all' or 'train'")
+    rows = counts if counts is not None else subset_label_counts(prepared)
     if index_on == "all":
-        return (indexing.fit_label_indexer(prepared),
-                indexing.fit_feature_indexer(prepared))
-    if index_on == "train":
-        return (indexing.fit_label_indexer(train, handle_invalid="keep"),
-                indexing.fit_feature_indexer(train, handle_invalid="keep"))
-    raise ValueError("index_on must be 'all' or 'train'")
+        label_model = indexing.label_model_from_counts(
+            _label_counts(rows, (TRAIN, TEST, OTHER, None)))
+        return label_model, indexing.fit_feature_indexer(prepared)
+    label_model = indexing.label_model_from_counts(_label_counts(rows, (TRAIN,)),
+                                                   handle_invalid="keep")
+    return label_model, indexing.fit_feature_indexer(train, handle_invalid="keep")
 
 
 def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
@@ -89,8 +121,11 @@ def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
         if num_folds and prepare.FOLD not in prepared.columns:
             prepared = prepare.assign_folds(prepared, num_folds)
     train, test = prepare.split_by_subset(prepared)
-    sizes = subset_sizes(prepared)
-    label_model, feature_model = fit_indexers(prepared, train, index_on)
+    counts = subset_label_counts(prepared)
+    sizes: dict[str, int] = {}
+    for r in counts:
+        sizes[r[SUBSET]] = sizes.get(r[SUBSET], 0) + r["n"]
+    label_model, feature_model = fit_indexers(prepared, train, index_on, counts)
     return prepared, names, train, test, sizes, label_model, feature_model
 
 
