@@ -68,3 +68,6 @@ def test_sweep_records_failures_and_results(spark, tmp_dir):
     assert spark.read.parquet(path).count() == 3
     summary = experiments.summarize(spark.read.parquet(path)).collect()
     assert len(summary) == 1 and summary[0].n_runs == 1
+    # a second sweep over the same results table skips the finished run
+    again = experiments.run_sweep(spark, m, SF_SMALL, path).collect()
+    assert sorted(r.run_id for r in again) == [1, 2]

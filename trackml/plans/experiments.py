@@ -256,25 +256,48 @@ def _run_one(spark, sf_dir, r, staged: dict):
             "test_error": a["test_error"]}
 
 
+def _done_runs(spark: SparkSession, results_path: str | None) -> set:
+    if not results_path:
+        return set()
+    try:
+        previous = spark.read.schema(RESULT_SCHEMA).parquet(results_path)
+        return {r.run_id for r in previous.where(F.col("status") == "done")
+                .select("run_id").distinct().collect()}
+    except Exception:  # no results table yet
+        return set()
+
+
+def _to_frame(spark: SparkSession, out: list[dict]) -> DataFrame:
+    names = [f.name for f in RESULT_SCHEMA.fields]
+    return spark.createDataFrame([tuple(o.get(n) for n in names) for o in out], RESULT_SCHEMA)
+
+
 def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str,
               results_path: str | None = None) -> DataFrame:
     """E3 + E6 + S8: run every ready manifest row; one result row per run.
 
     Runs over the same (feature, label, split) sets share one staged input.
     A failing run records its error and the sweep goes on.  With
-    ``results_path`` the rows are appended to a Parquet results table.
+    ``results_path`` each row is appended to a Parquet results table as soon
+    as its run ends, and runs already recorded there as done are skipped, so
+    a sweep interrupted by a driver failure resumes where it stopped.
     """
     rows = apply_defaults(manifest).orderBy("run_id").collect()
     settings = executor_settings(spark)
+    finished = _done_runs(spark, results_path)
     staged: dict = {}
     out = []
     for r in rows:
+        if r["run_id"] in finished:
+            continue
         base = {"run_id": r["run_id"], "app_name": _app_name(r), "algorithm": r["algorithm"],
                 "feature_set": r["feature_set"], "label_set": r["label_set"],
                 "split_set": r["split_set"], "params": _params_text(r), "status": r["status"],
                 "executor_settings": settings}
         if r["status"] != "ready":
             out.append(base)
+            if results_path:
+                _to_frame(spark, [base]).write.mode("append").parquet(results_path)
             continue
         start = time.perf_counter()
         try:
@@ -285,11 +308,9 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str,
             base["error"] = "".join(traceback.format_exception_only(type(exc), exc)).strip()
         base["duration_s"] = time.perf_counter() - start
         out.append(base)
-    names = [f.name for f in RESULT_SCHEMA.fields]
-    results = spark.createDataFrame([tuple(o.get(n) for n in names) for o in out], RESULT_SCHEMA)
-    if results_path:
-        results.write.mode("append").parquet(results_path)
-    return results
+        if results_path:
+            _to_frame(spark, [base]).write.mode("append").parquet(results_path)
+    return _to_frame(spark, out)
 
 
 def summarize(results: DataFrame) -> DataFrame:
