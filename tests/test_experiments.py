@@ -71,3 +71,19 @@ def test_sweep_records_failures_and_results(spark, tmp_dir):
     # a second sweep over the same results table skips the finished run
     again = experiments.run_sweep(spark, m, SF_SMALL, path).collect()
     assert sorted(r.run_id for r in again) == [1, 2]
+
+
+def test_sweep_over_text_files(spark, tmp_dir):
+    from trackml.sources import files, fixtures
+    inp = fixtures.order_inputs(spark, SF_SMALL)
+    inp["features"].withColumnRenamed("track_id", files.SOURCE_KEY) \
+        .write.option("header", True).csv(f"{tmp_dir}/features")
+    inp["labels"].write.option("sep", "\t").csv(f"{tmp_dir}/labels")
+    inp["splits"].write.option("sep", "\t").csv(f"{tmp_dir}/splits")
+    m = experiments.build_manifest(spark, {"orders": f"{tmp_dir}/features"},
+                                   {"priority": f"{tmp_dir}/labels"},
+                                   {"key80": f"{tmp_dir}/splits"}, ["logreg", "forest"],
+                                   {"num_trees": 5})
+    res = {r.algorithm: r for r in experiments.run_sweep(spark, m).collect()}
+    assert res["logreg"].status == "done" and round(res["logreg"].accuracy, 6) == 0.184932
+    assert res["forest"].status == "done" and res["forest"].n_test == 292

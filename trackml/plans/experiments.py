@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from trackml.operators import models
 from trackml.plans import jobs
-from trackml.sources import fixtures
+from trackml.sources import files, fixtures
 
 ALGORITHMS = ("logreg", "forest", "logreg_cv", "forest_cv", "year")
 
@@ -218,6 +218,14 @@ def _params_text(r) -> str:
 
 
 def _inputs(spark, sf_dir, r):
+    """Fixture tables by set name when ``sf_dir`` is given, else the manifest's
+    files (features CSV, labels TSV or year CSV, splits TSV)."""
+    if sf_dir is None:
+        if r["algorithm"] == "year":
+            return {"features": files.read_features_csv(spark, r["features_path"]),
+                    "labels": files.read_year_labels_csv(spark, r["labels_path"])}
+        return files.read_track_inputs(spark, r["features_path"], r["labels_path"],
+                                       r["splits_path"])
     out = {"features": fixtures.FEATURE_SETS[r["feature_set"]](spark, sf_dir),
            "labels": fixtures.LABEL_SETS[r["label_set"]](spark, sf_dir)}
     if r["split_set"]:
@@ -233,7 +241,8 @@ def _run_one(spark, sf_dir, r, staged: dict):
                             r["elastic_net"], r["train_split"])
         m = run.test_metrics().first()
         return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"]}
-    key = (r["feature_set"], r["label_set"], r["split_set"])
+    key = (r["features_path"], r["labels_path"], r["splits_path"]) if sf_dir is None \
+        else (r["feature_set"], r["label_set"], r["split_set"])
     if key not in staged:
         staged[key] = jobs.prepare_genre(_inputs(spark, sf_dir, r), name="sweep")
     if algo == "logreg":
@@ -272,11 +281,13 @@ def _to_frame(spark: SparkSession, out: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(o.get(n) for n in names) for o in out], RESULT_SCHEMA)
 
 
-def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str,
+def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = None,
               results_path: str | None = None) -> DataFrame:
     """E3 + E6 + S8: run every ready manifest row; one result row per run.
 
-    Runs over the same (feature, label, split) sets share one staged input.
+    Inputs are the fixture tables of ``sf_dir`` named by the set columns, or,
+    without ``sf_dir``, the files named by the path columns.  Runs over the
+    same (feature, label, split) inputs share one staged input.
     A failing run records its error and the sweep goes on.  With
     ``results_path`` each row is appended to a Parquet results table as soon
     as its run ends, and runs already recorded there as done are skipped, so
