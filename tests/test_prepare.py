@@ -61,3 +61,30 @@ def test_array_features_assemble(spark):
     e = fixtures.embedding_features(spark, SF_SMALL)
     out = prepare.assemble(e, ["embedding"])
     assert out.first().features.size == 64
+
+
+def test_hot_key_and_hot_label(spark):
+    """One track holds a third of all label rows and one label most rows: the
+    join multiplies that track's rows (inner-join semantics), counts stay exact."""
+    from trackml.plans import jobs
+
+    n = 3000
+    splits = spark.range(n).select(F.col("id").alias("track_id"),
+                                   F.when(F.col("id") % 10 < 8, "TRAIN").otherwise("TEST")
+                                   .alias("subset"))
+    normal = spark.range(n).select(F.col("id").alias("track_id"),
+                                   F.when(F.col("id") % 3 == 0, "rare").otherwise("hot")
+                                   .alias("label"))
+    hot = spark.range(n // 2).select(F.lit(7).cast("long").alias("track_id"),
+                                     F.lit("hot").alias("label"))
+    labels = normal.unionByName(hot)          # track 7: 1 + 1500 of 4500 rows
+    feats = spark.range(n).select(F.col("id").alias("track_id"),
+                                  (F.col("id") % 5).cast("double").alias("a"),
+                                  (F.col("id") * 0.5).cast("double").alias("b"))
+    joined = prepare.join_tracks(splits, labels, feats)
+    assert joined.count() == n + n // 2
+    assert joined.where("track_id = 7").count() == 1 + n // 2
+    run = jobs.run_genre_logreg({"splits": splits, "labels": labels, "features": feats})
+    assert run.n_train + run.n_test == n + n // 2
+    assert run.label_model.labels == ["hot", "rare"]
+    assert run.predictions.count() == run.n_test
