@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorIndexer
 from pyspark.ml.feature import VectorIndexerModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackml.functions import columns
@@ -33,12 +32,6 @@ def fit_label_indexer(df: DataFrame, input_col: str = LABEL, output_col: str = I
                          handleInvalid=handle_invalid).fit(df)
 
 
-def label_frequencies(df: DataFrame, input_col: str = LABEL) -> DataFrame:
-    """A2: ``label, n`` (partial aggregation before the shuffle, so a label that
-    holds a third of all rows is combined map-side)."""
-    return df.groupBy(input_col).agg(F.count(F.lit(1)).alias("n"))
-
-
 def label_order(counts: dict[str, int]) -> list[str]:
     """Labels by descending count, equal counts in the string order Spark's
     ``StringIndexer`` uses (UTF-16 code units)."""

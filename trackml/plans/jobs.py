@@ -17,10 +17,10 @@ joins, and survives the loss of an executor.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackml.operators import evaluate, indexing, models, prepare, tuning
@@ -42,7 +42,6 @@ class GenreRun:
     model: object
     predictions: DataFrame
     cv_results: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
     def accuracy(self) -> DataFrame:
         """A4 + P7 with the counts of the run: one row."""
@@ -78,10 +77,10 @@ def subset_label_counts(prepared: DataFrame) -> list:
             .agg(F.count(F.lit(1)).alias("n")).collect())
 
 
-def subset_sizes(prepared: DataFrame) -> dict[str, int]:
-    """A1: rows per subset value."""
+def subset_sizes(counts) -> dict[str, int]:
+    """A1: rows per subset value, from :func:`subset_label_counts` rows."""
     sizes: dict[str, int] = {}
-    for r in subset_label_counts(prepared):
+    for r in counts:
         sizes[r[SUBSET]] = sizes.get(r[SUBSET], 0) + r["n"]
     return sizes
 
@@ -122,9 +121,7 @@ def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
             prepared = prepare.assign_folds(prepared, num_folds)
     train, test = prepare.split_by_subset(prepared)
     counts = subset_label_counts(prepared)
-    sizes: dict[str, int] = {}
-    for r in counts:
-        sizes[r[SUBSET]] = sizes.get(r[SUBSET], 0) + r["n"]
+    sizes = subset_sizes(counts)
     label_model, feature_model = fit_indexers(prepared, train, index_on, counts)
     return prepared, names, train, test, sizes, label_model, feature_model
 
@@ -219,7 +216,7 @@ def prepare_year(labels: DataFrame, features: DataFrame, feature_cols: list[str]
     joined = prepare.join_year(labels, features)
     names = feature_cols or prepare.feature_columns(joined)
     assembled = prepare.assemble(joined, names, handle_invalid=handle_invalid, keep=(KEY, YEAR))
-    assembled = assembled.withColumnRenamed(YEAR, LABEL)
+    assembled = prepare.select_rename(assembled, [KEY, YEAR, prepare.FEATURES], {YEAR: LABEL})
     if split == "key":
         return stage(prepare.key_split(assembled, train_fraction), name,
                      partition_by=[SUBSET]), names
@@ -242,7 +239,3 @@ def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_par
         raise ValueError("split must be 'random' or 'key'")
     model = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver).fit(train)
     return YearRun(prepared, train, test, names, model, model.transform(test))
-
-
-def spark_of(run) -> SparkSession:
-    return run.prepared.sparkSession
