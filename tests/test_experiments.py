@@ -87,3 +87,12 @@ def test_sweep_over_text_files(spark, tmp_dir):
     res = {r.algorithm: r for r in experiments.run_sweep(spark, m).collect()}
     assert res["logreg"].status == "done" and round(res["logreg"].accuracy, 6) == 0.184932
     assert res["forest"].status == "done" and res["forest"].n_test == 292
+
+
+def test_readiness_missing_root(spark, tmp_dir):
+    m = experiments.manifest_from_rows(spark, [
+        {"run_id": 0, "algorithm": "year", "features_path": f"{tmp_dir}/gone/f.csv",
+         "labels_path": f"{SF_SMALL}/orders.parquet"}])
+    got = {r.role: r.status for r in
+           experiments.readiness(spark, m, [f"{tmp_dir}/gone", SF_SMALL]).collect()}
+    assert got == {"features": "MISSING", "labels": "CHECK"}

@@ -10,10 +10,12 @@ so it is small however large the data is.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import time
 import traceback
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,15 +131,26 @@ def _strip_scheme(col: F.Column) -> F.Column:
 def readiness(spark: SparkSession, manifest: DataFrame, roots: list[str]) -> DataFrame:
     """``run_id, role, path, status`` with status ``CHECK`` or ``MISSING``.
 
-    ``roots`` are the data folders to list (any Hadoop URI).  The listing is a
+    ``roots`` are the data folders to list (any Hadoop URI; a missing folder
+    lists nothing, so its paths are ``MISSING``).  The listing is a
     ``binaryFile`` scan that reads only file paths, never file contents; every
     listed file contributes itself and its parent folders, so a manifest path
     may name a file or a folder (e.g. a Parquet dataset).  The match is an
     equi-join on the normalised path.  A year experiment has no splits path
     and gets no splits row.
     """
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .load(*roots).select(_strip_scheme(F.col("path")).alias("file")))
+    listings = []
+    for root in roots:  # a handful of data folders, not data
+        try:
+            listings.append(spark.read.format("binaryFile")
+                            .option("recursiveFileLookup", "true").load(root)
+                            .select(_strip_scheme(F.col("path")).alias("file")))
+        except AnalysisException:  # the folder itself is missing
+            continue
+    if not listings:
+        listed = spark.createDataFrame([], "file string")
+    else:
+        listed = functools.reduce(DataFrame.unionByName, listings)
     parts = F.split(F.col("file"), "/")
     prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)),
                            lambda n: F.array_join(F.slice(parts, 1, n), "/"))
@@ -270,10 +283,10 @@ def _done_runs(spark: SparkSession, results_path: str | None) -> set:
         return set()
     try:
         previous = spark.read.schema(RESULT_SCHEMA).parquet(results_path)
-        return {r.run_id for r in previous.where(F.col("status") == "done")
-                .select("run_id").distinct().collect()}
-    except Exception:  # no results table yet
+    except AnalysisException:  # no results table yet
         return set()
+    return {r.run_id for r in previous.where(F.col("status") == "done")
+            .select("run_id").distinct().collect()}
 
 
 def _to_frame(spark: SparkSession, out: list[dict]) -> DataFrame:
