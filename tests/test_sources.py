@@ -85,3 +85,28 @@ def test_connector_alias(spark, tmp_dir):
     path = _write(tmp_dir, "l.cls", LABELS_TSV)
     df = spark.read.format("com.databricks.spark.csv").option("sep", "\t").load(path)
     assert df.count() == 5
+
+
+def test_packed_vectorize_matches_assembler_rules(inputs):
+    from trackml.plans import jobs
+
+    f = inputs["features"]
+    packed, names = prepare.pack_features(f)
+    assert names == ["a", "b", "c"]
+    with pytest.raises(Exception):
+        prepare.vectorize(packed, names, handle_invalid="error").collect()
+    kept = prepare.vectorize(packed, names, handle_invalid="skip")
+    assert sorted(r.track_id for r in kept.collect()) == ["TRAA", "TRAB"]
+    keep = {r.track_id: r.features for r in
+            prepare.vectorize(packed, names, handle_invalid="keep").collect()}
+    assert len(keep) == 4 and keep["TRAE"][0] != keep["TRAE"][0]  # NaN
+    # same vectors as VectorAssembler on the rows both keep
+    va = {r.track_id: r.features for r in
+          prepare.assemble(f, ["a", "b", "c"], handle_invalid="skip").collect()}
+    assert {k: v.toArray().tolist() for k, v in va.items()} == \
+        {r.track_id: r.features.toArray().tolist() for r in kept.collect()}
+    # an invalid row that the join removes does not fail the job
+    only_valid = inputs["splits"].where("track_id IN ('TRAA', 'TRAB')")
+    staged, _ = jobs.prepare_genre({"splits": only_valid, "labels": inputs["labels"],
+                                    "features": f})
+    assert staged.count() == 3   # TRAA twice (two labels), TRAB once

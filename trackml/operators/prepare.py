@@ -77,6 +77,70 @@ def assemble(df: DataFrame, inputs: list[str] | None = None, output: str = FEATU
     return assembler.transform(prepared).select(*keep, output)
 
 
+PACKED = "feature_values"
+
+
+def pack_features(features: DataFrame, inputs: list[str] | None = None,
+                  key: str = KEY) -> tuple[DataFrame, list[str]]:
+    """F1, first half: the feature columns of the features table packed into one
+    ``array<double>`` column (``feature_values``), before any join.
+
+    Array-typed inputs (e.g. an embedding) are spliced in place, so the slot
+    order is the column order.  A join and its shuffle then carry two columns
+    instead of hundreds, and every later stage stays under
+    ``spark.sql.codegen.maxFields`` (whole-stage codegen).  NULL and NaN are
+    kept as they are; :func:`vectorize` applies the invalid-value rule after
+    the join, as assembling after the join would.
+
+    Returns the packed frame and the slot names (array inputs give
+    ``name_0, name_1, ...``, which needs one row to know their length).
+    """
+    inputs = list(inputs) if inputs is not None else [c for c in features.columns if c != key]
+    if not inputs:
+        raise ValueError("no feature columns to pack")
+    parts, names = [], []
+    for c in inputs:
+        dtype = features.schema[c].dataType
+        if isinstance(dtype, T.ArrayType):
+            first = features.select(F.size(c).alias("n")).where("n >= 0").first()
+            n = first["n"] if first else 0
+            parts.append(F.transform(F.col(c), lambda x: x.cast("double")))
+            names.extend(f"{c}_{i}" for i in range(n))
+        else:
+            parts.append(F.array(F.col(c).cast("double")))
+            names.append(c)
+    packed = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return features.select(F.col(key), packed.alias(PACKED)), names
+
+
+def _attribute_metadata(names: list[str]) -> dict:
+    """ML attribute metadata of a numeric vector (what ``VectorAssembler`` writes)."""
+    return {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]},
+                        "num_attrs": len(names)}}
+
+
+def vectorize(df: DataFrame, names: list[str], output: str = FEATURES,
+              handle_invalid: str = "error", packed: str = PACKED) -> DataFrame:
+    """F1, second half: packed values → ML vector, with ``VectorAssembler``'s
+    invalid-value rule: ``error`` fails on a NULL or NaN value, ``skip`` drops
+    the row, ``keep`` keeps it with NULL as NaN."""
+    if handle_invalid not in ("error", "skip", "keep"):
+        raise ValueError(f"handle_invalid must be error, skip or keep, not {handle_invalid!r}")
+    values = F.col(packed)
+    invalid = values.isNull() | F.exists(values, lambda x: x.isNull() | F.isnan(x))
+    if handle_invalid == "skip":
+        df = df.where(~invalid)
+    elif handle_invalid == "error":
+        values = F.when(invalid, F.raise_error(F.concat(
+            F.lit("invalid (NULL or NaN) feature value for key "),
+            F.col(KEY).cast("string"),
+            F.lit("; use handle_invalid='skip' or 'keep'")))).otherwise(values)
+    else:
+        values = F.transform(values, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    vector = array_to_vector(values).alias(output, metadata=_attribute_metadata(names))
+    return df.select(*[c for c in df.columns if c != packed], vector)
+
+
 def select_rename(df: DataFrame, columns: list[str], renames: dict[str, str]) -> DataFrame:
     """P3 + P4: select columns, then rename some of them."""
     out = df.select(*columns)

@@ -52,10 +52,16 @@ class GenreRun:
 
 def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
                   num_folds: int | None = None, name: str = "genre") -> tuple[DataFrame, list[str]]:
-    """J1 → P5 → F1 (→ R3) → staged frame ``track_id, subset, label, [fold,] features``."""
-    joined = prepare.join_tracks(inputs["splits"], inputs["labels"], inputs["features"])
-    names = prepare.feature_columns(joined)
-    assembled = prepare.assemble(joined, names, handle_invalid=handle_invalid)
+    """P5 → F1 (packed) → J1 → F1 (vector) (→ R3) → staged frame
+    ``track_id, subset, label, [fold,] features``.
+
+    The feature columns are packed into one array before the join and turned
+    into the vector after it, with the invalid-value rule applied to joined
+    rows only (the same rows the reference's assembler sees).
+    """
+    packed, names = prepare.pack_features(inputs["features"])
+    joined = prepare.join_tracks(inputs["splits"], inputs["labels"], packed)
+    assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     if num_folds:
         assembled = prepare.assign_folds(assembled, num_folds)
     staged = stage(assembled, name, partition_by=[SUBSET])
@@ -213,9 +219,9 @@ class YearRun:
 def prepare_year(labels: DataFrame, features: DataFrame, feature_cols: list[str] | None = None,
                  handle_invalid: str = "error", split: str = "random",
                  train_fraction: float = 0.7, name: str = "year") -> tuple[DataFrame, list[str]]:
-    joined = prepare.join_year(labels, features)
-    names = feature_cols or prepare.feature_columns(joined)
-    assembled = prepare.assemble(joined, names, handle_invalid=handle_invalid, keep=(KEY, YEAR))
+    packed, names = prepare.pack_features(features, feature_cols)
+    joined = prepare.join_year(labels, packed)
+    assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     assembled = prepare.select_rename(assembled, [KEY, YEAR, prepare.FEATURES], {YEAR: LABEL})
     if split == "key":
         return stage(prepare.key_split(assembled, train_fraction), name,
