@@ -79,14 +79,30 @@ def test_sweep_over_text_files(spark, tmp_dir):
     inp["features"].withColumnRenamed("track_id", files.SOURCE_KEY) \
         .write.option("header", True).csv(f"{tmp_dir}/features")
     inp["labels"].write.option("sep", "\t").csv(f"{tmp_dir}/labels")
+    inp["labels"].write.option("sep", "\t").csv(f"{tmp_dir}/labels2")
     inp["splits"].write.option("sep", "\t").csv(f"{tmp_dir}/splits")
     m = experiments.build_manifest(spark, {"orders": f"{tmp_dir}/features"},
-                                   {"priority": f"{tmp_dir}/labels"},
+                                   {"priority": f"{tmp_dir}/labels",
+                                    "copy": f"{tmp_dir}/labels2"},
                                    {"key80": f"{tmp_dir}/splits"}, ["logreg", "forest"],
                                    {"num_trees": 5})
-    res = {r.algorithm: r for r in experiments.run_sweep(spark, m).collect()}
+    calls = []
+    real = files.read_features_csv
+
+    def counting(spark_, path):
+        calls.append(path)
+        return real(spark_, path)
+
+    files.read_features_csv = counting
+    try:
+        rows = experiments.run_sweep(spark, m).collect()
+        res = {r.algorithm: r for r in rows if r.label_set == "priority"}
+    finally:
+        files.read_features_csv = real
     assert res["logreg"].status == "done" and round(res["logreg"].accuracy, 6) == 0.184932
     assert res["forest"].status == "done" and res["forest"].n_test == 292
+    assert len(rows) == 4 and all(r.status == "done" for r in rows)
+    assert len(calls) == 1   # one parse of the features file for both label sets
 
 
 def test_readiness_missing_root(spark, tmp_dir):
