@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from trackml.operators import models
 from trackml.plans import jobs
+from trackml.session import stage_path
 from trackml.sources import files, fixtures
 
 ALGORITHMS = ("logreg", "forest", "logreg_cv", "forest_cv", "year")
@@ -261,7 +262,7 @@ def _inputs(spark, sf_dir, r, parsed: dict | None = None):
     return out
 
 
-def _run_one(spark, sf_dir, r, staged: dict, parsed: dict):
+def _run_one(spark, sf_dir, r, staged: dict, parsed: dict, staged_slot: str):
     algo = r["algorithm"]
     if algo == "year":
         inp = _inputs(spark, sf_dir, r, parsed)
@@ -272,7 +273,11 @@ def _run_one(spark, sf_dir, r, staged: dict, parsed: dict):
     key = (r["features_path"], r["labels_path"], r["splits_path"]) if sf_dir is None \
         else (r["feature_set"], r["label_set"], r["split_set"])
     if key not in staged:
-        staged[key] = jobs.prepare_genre(_inputs(spark, sf_dir, r, parsed), name="sweep")
+        # one slot per sweep: the previous input group is finished (runs are
+        # ordered by input), so its staged table is overwritten, not kept
+        staged.clear()
+        staged[key] = jobs.prepare_genre(_inputs(spark, sf_dir, r, parsed), name="sweep",
+                                         path=staged_slot)
     if algo == "logreg":
         est = models.logistic_regression(r["max_iter"], r["reg_param"], r["elastic_net"])
         run = jobs.run_genre(None, est, prepared=staged[key])
@@ -322,9 +327,15 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     as its run ends, and runs already recorded there as done are skipped, so
     a sweep interrupted by a driver failure resumes where it stopped.
     """
-    rows = apply_defaults(manifest).orderBy("run_id").collect()
+    # grouped by input so that only one joined input is staged at a time
+    rows = apply_defaults(manifest).orderBy(
+        F.col("features_path").asc_nulls_first(), F.col("labels_path").asc_nulls_first(),
+        F.col("splits_path").asc_nulls_first(), F.col("feature_set").asc_nulls_first(),
+        F.col("label_set").asc_nulls_first(), F.col("split_set").asc_nulls_first(),
+        "run_id").collect()
     settings = executor_settings(spark)
     finished = _done_runs(spark, results_path)
+    slot = stage_path(spark, "sweep")
     staged: dict = {}
     parsed: dict = {}
     out = []
@@ -342,7 +353,7 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
             continue
         start = time.perf_counter()
         try:
-            base.update(_run_one(spark, sf_dir, r, staged, parsed))
+            base.update(_run_one(spark, sf_dir, r, staged, parsed, slot))
             base["status"] = "done"
         except Exception as exc:  # one bad experiment must not stop the sweep
             base["status"] = "failed"
@@ -351,7 +362,7 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
         out.append(base)
         if results_path:
             _to_frame(spark, [base]).write.mode("append").parquet(results_path)
-    return _to_frame(spark, out)
+    return _to_frame(spark, sorted(out, key=lambda o: o["run_id"]))
 
 
 def summarize(results: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ class GenreRun:
 
 
 def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
-                  num_folds: int | None = None, name: str = "genre") -> tuple[DataFrame, list[str]]:
+                  num_folds: int | None = None, name: str = "genre",
+                  path: str | None = None) -> tuple[DataFrame, list[str]]:
     """P5 → F1 (packed) → J1 → F1 (vector) (→ R3) → staged frame
     ``track_id, subset, label, [fold,] features``.
 
@@ -64,7 +65,7 @@ def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     if num_folds:
         assembled = prepare.assign_folds(assembled, num_folds)
-    staged = stage(assembled, name, partition_by=[SUBSET])
+    staged = stage(assembled, name, partition_by=[SUBSET], path=path)
     slot_names = indexing.slot_names(staged) or names
     return staged, slot_names
 

@@ -88,17 +88,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one staged table under the checkpoint root."""
+    return f"{checkpoint_root(spark).rstrip('/')}/trackml/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None,
+          path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint root and read it back.
 
     This cuts the lineage (scans, joins, parsing) for every later pass and keeps
     the data on shared storage.  ``partition_by`` is for low-cardinality columns
     that later filters select on (e.g. ``subset``), so those filters prune
-    whole directories.
+    whole directories.  With ``path`` the table replaces whatever that folder
+    held (a reusable slot, e.g. one per sweep); otherwise a new folder is used.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/trackml/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    if path is None:
+        path, mode = stage_path(spark, name), "errorifexists"
+    else:
+        mode = "overwrite"
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
