@@ -2,7 +2,7 @@
 
 The reference keeps one text config per experiment and one ``spark-submit``
 per config.  Here an experiment is one row of a manifest DataFrame; a sweep is
-one Spark application that runs the manifest's rows one after another, each a
+one Spark application that runs the manifest's rows (a few at a time), each a
 set of distributed jobs, and keeps one result row per run (appended to a
 results table when a path is given).  The manifest has one row per experiment,
 so it is small however large the data is.
@@ -14,7 +14,9 @@ import functools
 import itertools
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,42 +264,68 @@ def _inputs(spark, sf_dir, r, parsed: dict | None = None):
     return out
 
 
-def _run_one(spark, sf_dir, r, staged: dict, parsed: dict, staged_slot: str):
+def _input_key(sf_dir, r):
+    """Runs with the same key share one prepared input."""
+    if r["algorithm"] == "year":
+        return ("year", r["features_path"], r["labels_path"], r["feature_set"], r["label_set"])
+    if sf_dir is None:
+        return ("genre", r["features_path"], r["labels_path"], r["splits_path"])
+    return ("genre", r["feature_set"], r["label_set"], r["split_set"])
+
+
+def _prepare_group(spark, sf_dir, r, parsed: dict, slot: str):
+    """Driver-side, once per input group: year inputs, or the staged genre input
+    (one slot per sweep, overwritten by the next group: runs are ordered by
+    input, so the previous group is finished)."""
+    inputs = _inputs(spark, sf_dir, r, parsed)
+    if r["algorithm"] == "year":
+        return inputs
+    return jobs.prepare_genre(inputs, name="sweep", path=slot)
+
+
+def _run_one(r, prepared):
     algo = r["algorithm"]
     if algo == "year":
-        inp = _inputs(spark, sf_dir, r, parsed)
-        run = jobs.run_year(inp["labels"], inp["features"], r["max_iter"], r["reg_param"],
-                            r["elastic_net"], r["train_split"])
+        run = jobs.run_year(prepared["labels"], prepared["features"], r["max_iter"],
+                            r["reg_param"], r["elastic_net"], r["train_split"])
         m = run.test_metrics().first()
         return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"]}
-    key = (r["features_path"], r["labels_path"], r["splits_path"]) if sf_dir is None \
-        else (r["feature_set"], r["label_set"], r["split_set"])
-    if key not in staged:
-        # one slot per sweep: the previous input group is finished (runs are
-        # ordered by input), so its staged table is overwritten, not kept
-        staged.clear()
-        staged[key] = jobs.prepare_genre(_inputs(spark, sf_dir, r, parsed), name="sweep",
-                                         path=staged_slot)
     if algo == "logreg":
         est = models.logistic_regression(r["max_iter"], r["reg_param"], r["elastic_net"])
-        run = jobs.run_genre(None, est, prepared=staged[key])
+        run = jobs.run_genre(None, est, prepared=prepared)
     elif algo == "forest":
         est = models.random_forest(r["num_trees"], r["max_depth"], r["feature_subset_strategy"],
                                    r["impurity"])
-        run = jobs.run_genre(None, est, prepared=staged[key])
+        run = jobs.run_genre(None, est, prepared=prepared)
     elif algo == "logreg_cv":
         run = jobs.run_genre_logreg_cv(None, [r["max_iter"]], [r["reg_param"]],
                                        [r["elastic_net"]], num_folds=r["num_folds"],
-                                       prepared=staged[key])
+                                       prepared=prepared)
     else:
         run = jobs.run_genre_forest_cv(None, [r["num_trees"]], [r["max_depth"]], [32],
                                        [r["impurity"]], [r["feature_subset_strategy"]],
-                                       num_folds=r["num_folds"], prepared=staged[key])
+                                       num_folds=r["num_folds"], prepared=prepared)
     a = run.accuracy().first()
     return {"n_train": a["n_train"], "n_test": a["n_test"], "accuracy": a["accuracy"],
             "test_error": a["test_error"]}
 
 
+def _error_text(exc: Exception) -> str:
+    return "".join(traceback.format_exception_only(type(exc), exc)).strip()
+
+
+def _execute(r, prepared, base: dict) -> dict:
+    start = time.perf_counter()
+    try:
+        base.update(_run_one(r, prepared))
+        base["status"] = "done"
+    except Exception as exc:  # one bad experiment must not stop the sweep
+        base["status"] = "failed"
+        base["error"] = _error_text(exc)
+    base["duration_s"] = time.perf_counter() - start
+    return base
+
+
 def _done_runs(spark: SparkSession, results_path: str | None) -> set:
     if not results_path:
         return set()
@@ -315,19 +343,20 @@ def _to_frame(spark: SparkSession, out: list[dict]) -> DataFrame:
 
 
 def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = None,
-              results_path: str | None = None) -> DataFrame:
+              results_path: str | None = None, parallelism: int = 2) -> DataFrame:
     """E3 + E6 + S8: run every ready manifest row; one result row per run.
 
     Inputs are the fixture tables of ``sf_dir`` named by the set columns, or,
     without ``sf_dir``, the files named by the path columns; each file is
-    parsed once per sweep, and runs over the same (feature, label, split)
-    inputs share one staged, joined input.
+    parsed once per sweep.  Runs are grouped by input: a group's joined input
+    is staged once, then up to ``parallelism`` of its runs train at the same
+    time (driver threads submitting distributed jobs; one small experiment
+    alone leaves most of a large cluster idle).
     A failing run records its error and the sweep goes on.  With
     ``results_path`` each row is appended to a Parquet results table as soon
     as its run ends, and runs already recorded there as done are skipped, so
     a sweep interrupted by a driver failure resumes where it stopped.
     """
-    # grouped by input so that only one joined input is staged at a time
     rows = apply_defaults(manifest).orderBy(
         F.col("features_path").asc_nulls_first(), F.col("labels_path").asc_nulls_first(),
         F.col("splits_path").asc_nulls_first(), F.col("feature_set").asc_nulls_first(),
@@ -336,32 +365,39 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     settings = executor_settings(spark)
     finished = _done_runs(spark, results_path)
     slot = stage_path(spark, "sweep")
-    staged: dict = {}
     parsed: dict = {}
     out = []
-    for r in rows:
-        if r["run_id"] in finished:
-            continue
-        base = {"run_id": r["run_id"], "app_name": _app_name(r), "algorithm": r["algorithm"],
-                "feature_set": r["feature_set"], "label_set": r["label_set"],
-                "split_set": r["split_set"], "params": _params_text(r), "status": r["status"],
-                "executor_settings": settings}
-        if r["status"] != "ready":
-            out.append(base)
-            if results_path:
-                _to_frame(spark, [base]).write.mode("append").parquet(results_path)
-            continue
-        start = time.perf_counter()
-        try:
-            base.update(_run_one(spark, sf_dir, r, staged, parsed, slot))
-            base["status"] = "done"
-        except Exception as exc:  # one bad experiment must not stop the sweep
-            base["status"] = "failed"
-            base["error"] = "".join(traceback.format_exception_only(type(exc), exc)).strip()
-        base["duration_s"] = time.perf_counter() - start
+
+    def record(base):
         out.append(base)
         if results_path:
             _to_frame(spark, [base]).write.mode("append").parquet(results_path)
+
+    todo = [r for r in rows if r["run_id"] not in finished]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for _, group in itertools.groupby(todo, key=lambda r: _input_key(sf_dir, r)):
+            group = list(group)
+            bases = {r["run_id"]: {"run_id": r["run_id"], "app_name": _app_name(r),
+                                   "algorithm": r["algorithm"], "feature_set": r["feature_set"],
+                                   "label_set": r["label_set"], "split_set": r["split_set"],
+                                   "params": _params_text(r), "status": r["status"],
+                                   "executor_settings": settings} for r in group}
+            ready = [r for r in group if r["status"] == "ready"]
+            for r in group:
+                if r["status"] != "ready":
+                    record(bases[r["run_id"]])
+            if not ready:
+                continue
+            try:
+                prepared = _prepare_group(spark, sf_dir, ready[0], parsed, slot)
+            except Exception as exc:
+                for r in ready:
+                    record(dict(bases[r["run_id"]], status="failed", error=_error_text(exc)))
+                continue
+            futures = [pool.submit(inheritable_thread_target(spark)(_execute), r, prepared,
+                                   bases[r["run_id"]]) for r in ready]
+            for fut in as_completed(futures):
+                record(fut.result())
     return _to_frame(spark, sorted(out, key=lambda o: o["run_id"]))
 
 
