@@ -2,11 +2,12 @@
 
 Genre jobs (fixed partition, with or without grid search) share one skeleton:
 
-    splits ⋈ labels ⋈ features → assemble → stage (Parquet, by subset)
-      → indexers fitted on all rows → pipeline fit on TRAIN → score TEST → metrics
+    features packed into one array → splits ⋈ labels ⋈ features → vector
+      → stage (Parquet, by subset) → one pass for subset sizes + label order
+      → category indexer → pipeline fit on TRAIN → score TEST → metrics
 
-The year job: labels ⋈ features → assemble → split → linear regression →
-training summary + test RMSE.
+The year job: features packed → labels ⋈ features → vector → stage → split →
+linear regression → training summary + test RMSE.
 
 Each prepared frame is written once to the shared checkpoint folder
 (:func:`trackml.session.stage`) and read back, partitioned by ``subset`` so the
@@ -236,13 +237,13 @@ def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_par
              solver: str = "auto", handle_invalid: str = "error", name: str = "year") -> YearRun:
     """Entry C.  ``split="random"`` is the reference's ``randomSplit`` (seeded);
     ``split="key"`` is reproducible across runs and engines."""
+    if split not in ("random", "key"):
+        raise ValueError("split must be 'random' or 'key'")
     prepared, names = prepare_year(labels, features, feature_cols, handle_invalid, split,
                                    train_fraction, name)
     if split == "key":
         train, test = prepare.split_by_subset(prepared)
-    elif split == "random":
-        train, test = prepare.random_split(prepared, train_fraction, seed)
     else:
-        raise ValueError("split must be 'random' or 'key'")
+        train, test = prepare.random_split(prepared, train_fraction, seed)
     model = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver).fit(train)
     return YearRun(prepared, train, test, names, model, model.transform(test))
