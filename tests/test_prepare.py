@@ -88,3 +88,10 @@ def test_hot_key_and_hot_label(spark):
     assert run.n_train + run.n_test == n + n // 2
     assert run.label_model.labels == ["hot", "rare"]
     assert run.predictions.count() == run.n_test
+
+
+def test_partition_sizing():
+    from trackml.session import partitions_for
+
+    assert partitions_for(10 * 1024 ** 2) == 200
+    assert partitions_for(100 * 1024 ** 4) == 819200

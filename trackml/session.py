@@ -15,6 +15,7 @@ a re-read of the staged files, not a re-run of scans and joins.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -26,6 +27,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     # No broadcast from planner estimates (they can be far off for aggregates
     # and joins); AQE broadcasts a join side only after its shuffle has been
     # measured below this size, and uses sort-merge otherwise.
@@ -38,18 +40,34 @@ DEFAULT_CONF = {
 }
 
 
+# Target size of one shuffle partition (AQE coalesces towards it).
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def partitions_for(input_bytes: int, minimum: int = 200) -> int:
+    """Initial shuffle partitions so that ~``PARTITION_BYTES`` of input land in
+    each (e.g. 100 TB → about 800,000); AQE then merges small ones."""
+    return max(minimum, math.ceil(input_bytes / PARTITION_BYTES))
+
+
 def build_session(master: str | None = None, app_name: str = "trackml",
-                  shuffle_partitions: int | None = None,
+                  shuffle_partitions: int | None = None, input_bytes: int | None = None,
                   conf: dict | None = None) -> SparkSession:
     """Create (or get) a session with the package defaults.
 
     ``master`` is only set when given: under ``spark-submit`` the cluster
-    manager decides.
+    manager decides.  ``input_bytes`` (size of the largest input) sizes the
+    shuffle so that partitions stay near 128 MB and fit executor memory;
+    ``shuffle_partitions`` sets the number directly (tests, local runs).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if input_bytes and not shuffle_partitions:
+        shuffle_partitions = partitions_for(input_bytes)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = \
+            str(shuffle_partitions)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
