@@ -88,6 +88,11 @@ def test_hot_key_and_hot_label(spark):
     assert run.n_train + run.n_test == n + n // 2
     assert run.label_model.labels == ["hot", "rare"]
     assert run.predictions.count() == run.n_test
+    # two classes → binomial model (Spark's "auto" family); report names class 1
+    from trackml.operators import models
+    lr = models.estimator_stage(run.model)
+    rows = models.coefficient_rows(spark, lr, run.label_model.labels, run.feature_names)
+    assert {r.label for r in rows.collect()} == {"rare"}
 
 
 def test_partition_sizing():

@@ -35,10 +35,14 @@ DEFAULT_SEED = 42
 def logistic_regression(max_iter: int = 10, reg_param: float = 0.3,
                         elastic_net: float = 0.8,
                         aggregation_depth: int = 2) -> LogisticRegression:
-    """M1: multinomial logistic regression on the indexed columns."""
+    """M1: logistic regression on the indexed columns.
+
+    Family is Spark's default ``auto`` (as in the reference): multinomial for
+    more than two classes, binomial for two.
+    """
     return LogisticRegression(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
                               maxIter=max_iter, regParam=reg_param,
-                              elasticNetParam=elastic_net, family="multinomial",
+                              elasticNetParam=elastic_net,
                               aggregationDepth=aggregation_depth)
 
 
@@ -113,13 +117,15 @@ def _names(count: int, names: list[str] | None) -> list[str]:
 def coefficient_rows(spark: SparkSession, model: LogisticRegressionModel, labels: list[str],
                      feature_names: list[str] | None = None) -> DataFrame:
     """M4: ``label, feature, weight`` rows of the coefficient matrix, plus one
-    ``(intercept)`` row per class.  Size is classes x features (the model)."""
+    ``(intercept)`` row per class.  Size is classes x features (the model).
+    A binomial model has one row, for the positive class (index 1)."""
     matrix = model.coefficientMatrix.toArray()
     intercepts = model.interceptVector.toArray()
     names = _names(matrix.shape[1], feature_names)
+    offset = 1 if matrix.shape[0] == 1 and len(labels) == 2 else 0
     rows = []
     for k in range(matrix.shape[0]):
-        label = labels[k] if k < len(labels) else str(k)
+        label = labels[k + offset] if k + offset < len(labels) else str(k + offset)
         rows.extend((label, names[j], float(matrix[k, j])) for j in range(matrix.shape[1]))
         rows.append((label, "(intercept)", float(intercepts[k])))
     schema = T.StructType([T.StructField("label", T.StringType()),
