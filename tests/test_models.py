@@ -88,3 +88,13 @@ def test_year_default_random_split(spark):
 def test_index_on_train_only(spark):
     run = jobs.run_genre_logreg(fixtures.order_inputs(spark, SF_SMALL), index_on="train")
     assert run.predictions.count() == 292
+
+
+def test_aggregation_depth_scaling(spark):
+    assert models.aggregation_depth_for(800) == 2
+    assert models.aggregation_depth_for(100_000) == 3
+    df = spark.range(10).withColumnRenamed("id", "track_id")
+    lr = models.scale_estimator(models.logistic_regression(), df)
+    assert lr.getAggregationDepth() == 2
+    fixed = models.scale_estimator(models.logistic_regression(aggregation_depth=4), df)
+    assert fixed.getAggregationDepth() == 4

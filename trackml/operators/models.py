@@ -34,16 +34,37 @@ DEFAULT_SEED = 42
 
 def logistic_regression(max_iter: int = 10, reg_param: float = 0.3,
                         elastic_net: float = 0.8,
-                        aggregation_depth: int = 2) -> LogisticRegression:
+                        aggregation_depth: int | None = None) -> LogisticRegression:
     """M1: logistic regression on the indexed columns.
 
     Family is Spark's default ``auto`` (as in the reference): multinomial for
-    more than two classes, binomial for two.
+    more than two classes, binomial for two.  ``aggregation_depth`` unset →
+    chosen from the training partitions (:func:`fit_scaled`).
     """
-    return LogisticRegression(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
-                              maxIter=max_iter, regParam=reg_param,
-                              elasticNetParam=elastic_net,
-                              aggregationDepth=aggregation_depth)
+    lr = LogisticRegression(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
+                            maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
+    if aggregation_depth is not None:
+        lr.setAggregationDepth(aggregation_depth)
+    return lr
+
+
+# Above this many partitions one more tree-aggregate level is used.
+DEEP_AGGREGATION_PARTITIONS = 10_000
+
+
+def aggregation_depth_for(partitions: int) -> int:
+    """Depth of ``treeAggregate`` for gradient sums: with depth 2 about
+    sqrt(partitions) partial gradients reach the driver per iteration (~300
+    at 100k partitions), with depth 3 about the cube root (~50)."""
+    return 2 if partitions <= DEEP_AGGREGATION_PARTITIONS else 3
+
+
+def scale_estimator(estimator, train: DataFrame):
+    """Set the aggregation depth of a linear model from ``train``'s partition
+    count, unless the caller chose one.  Other estimators are returned as is."""
+    if estimator.hasParam("aggregationDepth") and not estimator.isSet("aggregationDepth"):
+        estimator.setAggregationDepth(aggregation_depth_for(train.rdd.getNumPartitions()))
+    return estimator
 
 
 def check_impurity(impurity: str) -> str:
@@ -86,11 +107,13 @@ def random_forest(num_trees: int, max_depth: int = 5, feature_subset_strategy: s
 
 def linear_regression(max_iter: int = 10, reg_param: float = 0.3, elastic_net: float = 0.8,
                       solver: str = "auto", label_col: str = LABEL,
-                      aggregation_depth: int = 2) -> LinearRegression:
+                      aggregation_depth: int | None = None) -> LinearRegression:
     """M3: elastic-net linear regression on the raw feature vector."""
-    return LinearRegression(featuresCol=FEATURES, labelCol=label_col, maxIter=max_iter,
-                            regParam=reg_param, elasticNetParam=elastic_net, solver=solver,
-                            aggregationDepth=aggregation_depth)
+    lr = LinearRegression(featuresCol=FEATURES, labelCol=label_col, maxIter=max_iter,
+                          regParam=reg_param, elasticNetParam=elastic_net, solver=solver)
+    if aggregation_depth is not None:
+        lr.setAggregationDepth(aggregation_depth)
+    return lr
 
 
 def classification_pipeline(label_model: StringIndexerModel, feature_model: VectorIndexerModel,

@@ -144,6 +144,7 @@ def run_genre(inputs: dict[str, DataFrame] | None, estimator, handle_invalid: st
     """
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
         inputs, handle_invalid, None, index_on, name, prepared)
+    estimator = models.scale_estimator(estimator, train)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     model: PipelineModel = pipeline.fit(train)
     predictions = model.transform(test)
@@ -172,6 +173,7 @@ def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
     """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored."""
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
         inputs, handle_invalid, num_folds, index_on, name, prepared)
+    estimator = models.scale_estimator(estimator, train)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     cv_model = tuning.cross_validate(pipeline, grid, train, num_folds, parallelism, seed)
     predictions = cv_model.transform(test)
@@ -245,5 +247,6 @@ def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_par
         train, test = prepare.split_by_subset(prepared)
     else:
         train, test = prepare.random_split(prepared, train_fraction, seed)
-    model = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver).fit(train)
+    estimator = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver)
+    model = models.scale_estimator(estimator, train).fit(train)
     return YearRun(prepared, train, test, names, model, model.transform(test))
