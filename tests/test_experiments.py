@@ -112,3 +112,11 @@ def test_readiness_missing_root(spark, tmp_dir):
     got = {r.role: r.status for r in
            experiments.readiness(spark, m, [f"{tmp_dir}/gone", SF_SMALL]).collect()}
     assert got == {"features": "MISSING", "labels": "CHECK"}
+
+
+def test_readiness_uri_forms(spark):
+    m = experiments.manifest_from_rows(spark, [
+        {"run_id": 0, "algorithm": "year", "features_path": f"file://{SF_SMALL}/lineitem.parquet",
+         "labels_path": f"{SF_SMALL}/orders.parquet/"}])
+    got = {r.role: r.status for r in experiments.readiness(spark, m, [SF_SMALL]).collect()}
+    assert got == {"features": "CHECK", "labels": "CHECK"}

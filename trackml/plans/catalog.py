@@ -95,7 +95,11 @@ def text_inputs_join(spark, sf_dir):
     feats = i["features"].withColumnRenamed(KEY, files.SOURCE_KEY)
     feats.write.option("header", True).csv(f"{base}/features")
     i["labels"].write.option("sep", "\t").csv(f"{base}/labels")
-    i["splits"].write.option("sep", "\t").csv(f"{base}/splits")
+    # partition files carry '%' comment lines; the reader must skip them (S3)
+    comment = spark.createDataFrame([("% subset per track, written by trackml", None)],
+                                    "track_id string, subset string")
+    splits = i["splits"].select(F.col(KEY).cast("string").alias(KEY), SUBSET)
+    splits.unionByName(comment).write.option("sep", "\t").csv(f"{base}/splits")
     read = files.read_track_inputs(spark, f"{base}/features", f"{base}/labels", f"{base}/splits")
     return prepare.join_tracks(read["splits"], read["labels"], read["features"])
 
