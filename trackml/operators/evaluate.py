@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trackml.functions.columns import hit
 from trackml.operators.indexing import INDEXED_LABEL, PREDICTED_LABEL, PREDICTION
-from trackml.operators.prepare import SUBSET
+from trackml.operators.prepare import FEATURES, SUBSET
 from trackml.sources.files import KEY, LABEL
 
 METRIC_DECIMALS = 8
@@ -83,6 +83,8 @@ def evaluator_rmse(predictions: DataFrame, label_col: str = LABEL,
 
 
 def sample_predictions(predictions: DataFrame, n: int = 5,
-                       columns: tuple[str, ...] = (KEY, PREDICTED_LABEL, LABEL)) -> DataFrame:
-    """The first ``n`` predictions by key (a top-n report; the reference shows 5)."""
+                       columns: tuple[str, ...] = (KEY, PREDICTED_LABEL, LABEL, FEATURES)
+                       ) -> DataFrame:
+    """The first ``n`` predictions by key with predicted label, label and
+    features (a top-n report; the reference shows 5 rows of these columns)."""
     return predictions.select(*columns).orderBy(KEY).limit(n)
