@@ -52,7 +52,7 @@ def test_forest_same_seed_same_predictions(spark):
     assert pa == pb
 
 
-def test_forest_validation():
+def test_forest_validation(spark):
     with pytest.raises(ValueError):
         models.random_forest(10, impurity="variance")
     with pytest.raises(ValueError):

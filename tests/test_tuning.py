@@ -11,7 +11,7 @@ from trackml.sources import fixtures
 from conftest import SF_SMALL
 
 
-def test_grid_sizes():
+def test_grid_sizes(spark):
     lr = models.logistic_regression()
     assert len(tuning.logreg_grid(lr, [10, 20, 30], [0.3, 0.2, 0.1, 0.001],
                                   [0.2, 0.4, 0.6, 0.8])) == 48
@@ -20,7 +20,7 @@ def test_grid_sizes():
                                   ["auto"])) == 24
 
 
-def test_grid_rejects_bad_values():
+def test_grid_rejects_bad_values(spark):
     rf = models.random_forest(1)
     with pytest.raises(ValueError):
         tuning.forest_grid(rf, [10], [25], [5], ["variance", "gini"], ["auto"])
@@ -57,3 +57,16 @@ def test_forest_cv_grid_results(spark):
     rows = run.cv_results.orderBy("grid_id").collect()
     assert [r.numTrees for r in rows] == [3.0, 5.0]
     assert all(0.0 <= r.avg_metric <= 1.0 for r in rows)
+
+
+def test_empty_fold_is_reported(spark):
+    n = 300
+    splits = spark.range(n).select((F.col("id") * 3).alias("track_id"),
+                                   F.lit("TRAIN").alias("subset"))
+    labels = spark.range(n).select((F.col("id") * 3).alias("track_id"),
+                                   (F.col("id") % 2).cast("string").alias("label"))
+    feats = spark.range(n).select((F.col("id") * 3).alias("track_id"),
+                                  F.col("id").cast("double").alias("a"))
+    with pytest.raises(ValueError, match="no TRAIN rows"):
+        jobs.run_genre_logreg_cv({"splits": splits, "labels": labels, "features": feats},
+                                 num_folds=3)

@@ -75,14 +75,29 @@ OTHER = "OTHER"
 
 
 def subset_label_counts(prepared: DataFrame) -> list:
-    """A1 + A2 in one pass: rows per (subset, label).
+    """A1 + A2 (+ R3 fold sizes) in one pass: rows per (subset, label[, fold]).
 
     Subset values other than TRAIN/TEST (never used, as in the reference) are
-    folded into one group, so the result is at most 3 x classes rows.
+    folded into one group, so the result is at most 3 x classes (x folds) rows.
     """
     subset = F.when(F.col(SUBSET).isin(TRAIN, TEST), F.col(SUBSET)).otherwise(F.lit(OTHER))
-    return (prepared.groupBy(subset.alias(SUBSET), F.col(LABEL))
-            .agg(F.count(F.lit(1)).alias("n")).collect())
+    keys = [subset.alias(SUBSET), F.col(LABEL)]
+    if prepare.FOLD in prepared.columns:
+        keys.append(F.col(prepare.FOLD))
+    return prepared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+def check_folds(counts, num_folds: int) -> None:
+    """Every fold must hold TRAIN rows (integer keys with a common factor of
+    ``num_folds`` would put them all in one fold under ``key mod k``)."""
+    sizes = {f: 0 for f in range(num_folds)}
+    for r in counts:
+        if r[SUBSET] == TRAIN:
+            sizes[r[prepare.FOLD]] = sizes.get(r[prepare.FOLD], 0) + r["n"]
+    empty = [f for f, n in sizes.items() if n == 0]
+    if empty:
+        raise ValueError(f"folds {empty} have no TRAIN rows; the key values are not spread "
+                         f"over {num_folds} folds (use string keys / hashed folds)")
 
 
 def subset_sizes(counts) -> dict[str, int]:
@@ -129,6 +144,8 @@ def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
             prepared = prepare.assign_folds(prepared, num_folds)
     train, test = prepare.split_by_subset(prepared)
     counts = subset_label_counts(prepared)
+    if num_folds:
+        check_folds(counts, num_folds)
     sizes = subset_sizes(counts)
     label_model, feature_model = fit_indexers(prepared, train, index_on, counts)
     return prepared, names, train, test, sizes, label_model, feature_model
