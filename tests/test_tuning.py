@@ -67,6 +67,8 @@ def test_empty_fold_is_reported(spark):
                                    (F.col("id") % 2).cast("string").alias("label"))
     feats = spark.range(n).select((F.col("id") * 3).alias("track_id"),
                                   F.col("id").cast("double").alias("a"))
+    inputs = {"splits": splits, "labels": labels, "features": feats}
     with pytest.raises(ValueError, match="no TRAIN rows"):
-        jobs.run_genre_logreg_cv({"splits": splits, "labels": labels, "features": feats},
-                                 num_folds=3)
+        jobs.run_genre_logreg_cv(inputs, num_folds=3)
+    run = jobs.run_genre_logreg_cv(inputs, num_folds=3, fold_method="hash")
+    assert run.cv_results.count() == 1

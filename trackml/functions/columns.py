@@ -10,10 +10,16 @@ from pyspark.sql import types as T
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def key_bucket(key: Column, dtype: T.DataType, buckets: int) -> Column:
-    """Stable bucket in ``[0, buckets)``: ``key mod buckets`` for integer keys,
-    else of the key's xxhash64.  Same value on every run and engine."""
-    if isinstance(dtype, INTEGRAL):
+def key_bucket(key: Column, dtype: T.DataType, buckets: int, method: str = "auto") -> Column:
+    """Stable bucket in ``[0, buckets)``, the same on every run.
+
+    ``auto``: ``key mod buckets`` for integer keys (also reproducible in any
+    SQL engine), else of the key's xxhash64; ``hash``: always of the xxhash64
+    (for integer keys with structure, e.g. all multiples of ``buckets``).
+    """
+    if method not in ("auto", "hash"):
+        raise ValueError("method must be 'auto' or 'hash'")
+    if method == "auto" and isinstance(dtype, INTEGRAL):
         return F.pmod(key, F.lit(buckets))
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 

@@ -168,7 +168,7 @@ def random_split(df: DataFrame, train_fraction: float, seed: int) -> tuple[DataF
 
 
 def key_split(df: DataFrame, train_fraction: float, buckets: int = 100,
-              key: str = KEY) -> DataFrame:
+              key: str = KEY, method: str = "auto") -> DataFrame:
     """R2, reproducible: label every row TRAIN/TEST from a bucket of its key.
 
     No sort, no shuffle, same result on every run and engine; all rows kept.
@@ -176,13 +176,14 @@ def key_split(df: DataFrame, train_fraction: float, buckets: int = 100,
     cut = int(round(train_fraction * buckets))
     if not 0 < cut < buckets:
         raise ValueError("train_fraction leaves one side empty")
-    bucket = key_bucket(F.col(key), df.schema[key].dataType, buckets)
+    bucket = key_bucket(F.col(key), df.schema[key].dataType, buckets, method)
     return df.withColumn(SUBSET, F.when(bucket < cut, F.lit(TRAIN)).otherwise(F.lit(TEST)))
 
 
-def assign_folds(df: DataFrame, num_folds: int, key: str = KEY) -> DataFrame:
+def assign_folds(df: DataFrame, num_folds: int, key: str = KEY,
+                 method: str = "auto") -> DataFrame:
     """Fold number in ``[0, num_folds)`` from the key (for ``CrossValidator.foldCol``)."""
     if num_folds < 2:
         raise ValueError("num_folds must be at least 2")
-    fold = key_bucket(F.col(key), df.schema[key].dataType, num_folds).cast("int")
+    fold = key_bucket(F.col(key), df.schema[key].dataType, num_folds, method).cast("int")
     return df.withColumn(FOLD, fold)

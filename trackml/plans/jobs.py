@@ -53,7 +53,8 @@ class GenreRun:
 
 def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
                   num_folds: int | None = None, name: str = "genre",
-                  path: str | None = None) -> tuple[DataFrame, list[str]]:
+                  path: str | None = None, fold_method: str = "auto"
+                  ) -> tuple[DataFrame, list[str]]:
     """P5 → F1 (packed) → J1 → F1 (vector) (→ R3) → staged frame
     ``track_id, subset, label, [fold,] features``.
 
@@ -65,7 +66,7 @@ def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
     joined = prepare.join_tracks(inputs["splits"], inputs["labels"], packed)
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     if num_folds:
-        assembled = prepare.assign_folds(assembled, num_folds)
+        assembled = prepare.assign_folds(assembled, num_folds, method=fold_method)
     staged = stage(assembled, name, partition_by=[SUBSET], path=path)
     slot_names = indexing.slot_names(staged) or names
     return staged, slot_names
@@ -97,7 +98,7 @@ def check_folds(counts, num_folds: int) -> None:
     empty = [f for f, n in sizes.items() if n == 0]
     if empty:
         raise ValueError(f"folds {empty} have no TRAIN rows; the key values are not spread "
-                         f"over {num_folds} folds (use string keys / hashed folds)")
+                         f"over {num_folds} folds; use fold_method='hash'")
 
 
 def subset_sizes(counts) -> dict[str, int]:
@@ -135,13 +136,15 @@ def fit_indexers(prepared: DataFrame, train: DataFrame, index_on: str = "all", c
     return label_model, indexing.fit_feature_indexer(train, handle_invalid="keep")
 
 
-def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None):
+def _setup(inputs, handle_invalid, num_folds, index_on, name, prepared=None,
+           fold_method="auto"):
     if prepared is None:
-        prepared, names = prepare_genre(inputs, handle_invalid, num_folds, name)
+        prepared, names = prepare_genre(inputs, handle_invalid, num_folds, name,
+                                        fold_method=fold_method)
     else:
         prepared, names = prepared
         if num_folds and prepare.FOLD not in prepared.columns:
-            prepared = prepare.assign_folds(prepared, num_folds)
+            prepared = prepare.assign_folds(prepared, num_folds, method=fold_method)
     train, test = prepare.split_by_subset(prepared)
     counts = subset_label_counts(prepared)
     if num_folds:
@@ -186,10 +189,14 @@ def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
                  parallelism: int | None = None, handle_invalid: str = "error",
                  index_on: str = "all",
                  seed: int = models.DEFAULT_SEED, name: str = "genre_cv",
-                 prepared: tuple[DataFrame, list[str]] | None = None) -> GenreRun:
-    """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored."""
+                 prepared: tuple[DataFrame, list[str]] | None = None,
+                 fold_method: str = "auto") -> GenreRun:
+    """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored.
+
+    Folds come from the key (``fold_method``, see
+    :func:`trackml.functions.columns.key_bucket`)."""
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
-        inputs, handle_invalid, num_folds, index_on, name, prepared)
+        inputs, handle_invalid, num_folds, index_on, name, prepared, fold_method)
     estimator = models.scale_estimator(estimator, train)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     cv_model = tuning.cross_validate(pipeline, grid, train, num_folds, parallelism, seed)
