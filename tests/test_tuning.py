@@ -72,3 +72,27 @@ def test_empty_fold_is_reported(spark):
         jobs.run_genre_logreg_cv(inputs, num_folds=3)
     run = jobs.run_genre_logreg_cv(inputs, num_folds=3, fold_method="hash")
     assert run.cv_results.count() == 1
+
+
+def test_twin_precondition_at_check_scale(spark):
+    """The SQL* twins of the LogReg queries assume zero coefficients (majority
+    class) at sf0.01, where the driver compares them; check that directly."""
+    from conftest import SF_MID
+    from trackml.plans import catalog
+
+    run = jobs.run_genre_logreg(fixtures.order_inputs(spark, SF_MID))
+    lr = models.estimator_stage(run.model)
+    assert (abs(lr.coefficientMatrix.toArray()) > 0).sum() == 0
+    assert {r.predictedLabel for r in run.predictions.select("predictedLabel").distinct()
+            .collect()} == {"4-NOT SPECIFIED"}
+    assert round(run.accuracy().first().accuracy, 6) == 0.187351
+
+    prepared = jobs.prepare_genre(fixtures.order_inputs(spark, SF_MID), num_folds=3)
+    train = prepared[0].where("subset = 'TRAIN'")
+    for reg in catalog.LOGREG_CV_GRID["reg_param"]:
+        for en in catalog.LOGREG_CV_GRID["elastic_net"]:
+            for f in range(3):
+                pipe = models.classification_pipeline(
+                    run.label_model, run.feature_model, models.logistic_regression(10, reg, en))
+                m = models.estimator_stage(pipe.fit(train.where(F.col("fold") != f)))
+                assert (abs(m.coefficientMatrix.toArray()) > 0).sum() == 0, (reg, en, f)
