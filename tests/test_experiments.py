@@ -120,3 +120,25 @@ def test_readiness_uri_forms(spark):
          "labels_path": f"{SF_SMALL}/orders.parquet/"}])
     got = {r.role: r.status for r in experiments.readiness(spark, m, [SF_SMALL]).collect()}
     assert got == {"features": "CHECK", "labels": "CHECK"}
+
+
+def test_manifest_csv_and_cli(spark, tmp_dir):
+    from trackml.__main__ import main, read_manifest
+
+    path = f"{tmp_dir}/runs.csv"
+    with open(path, "w") as fh:
+        fh.write("run_id,algorithm,feature_set,label_set,split_set,features_path,"
+                 "labels_path,splits_path,num_trees\n")
+        fh.write(f"0,logreg,orders,orders,orders,{SF_SMALL}/lineitem.parquet,"
+                 f"{SF_SMALL}/orders.parquet,{SF_SMALL}/orders.parquet,\n")
+        fh.write(f"1,forest,orders,orders,orders,{SF_SMALL}/lineitem.parquet,"
+                 f"{SF_SMALL}/orders.parquet,{SF_SMALL}/missing.parquet,3\n")
+    m = read_manifest(spark, path)
+    assert m.schema == experiments.MANIFEST_SCHEMA
+    assert [r.num_trees for r in m.orderBy("run_id").collect()] == [None, 3]
+    assert main(["check", "--manifest", path, "--roots", SF_SMALL]) == 0
+    results = f"{tmp_dir}/results"
+    assert main(["sweep", "--manifest", path, "--fixtures", SF_SMALL,
+                 "--results", results]) == 0
+    done = spark.read.parquet(results).where("status = 'done'").count()
+    assert done == 2
