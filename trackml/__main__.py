@@ -1,6 +1,6 @@
 """Command-line entry: run or check a manifest of experiments.
 
-    spark-submit --py-files trackml.zip -m trackml sweep --manifest runs.csv --results out/
+    spark-submit --py-files trackml.zip trackml/__main__.py sweep --manifest runs.csv --results out/
     python -m trackml check --manifest runs.csv --roots hdfs:///tracks
 
 The manifest is a CSV file with a header whose columns are those of
