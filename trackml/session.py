@@ -68,6 +68,9 @@ def build_session(master: str | None = None, app_name: str = "trackml",
         shuffle_partitions = partitions_for(input_bytes)
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = \
             str(shuffle_partitions)
+        # on a shared cluster, merge towards the advisory size instead of
+        # keeping many small tasks for the sake of parallelism
+        settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
