@@ -98,3 +98,12 @@ def test_aggregation_depth_scaling(spark):
     assert lr.getAggregationDepth() == 2
     fixed = models.scale_estimator(models.logistic_regression(aggregation_depth=4), df)
     assert fixed.getAggregationDepth() == 4
+
+
+def test_release_staged_input(spark):
+    run = jobs.run_genre_logreg(fixtures.order_inputs(spark, SF_SMALL))
+    acc = run.accuracy().first().accuracy
+    roots = run.release()
+    assert len(roots) == 1 and "/trackml/genre-" in roots[0]
+    assert spark.read.parquet(roots[0]).count() == 0
+    assert round(acc, 6) == 0.184932

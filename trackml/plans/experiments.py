@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from trackml.operators import models
 from trackml.plans import jobs
-from trackml.session import stage_path
+from trackml.session import release, stage_path
 from trackml.sources import files, fixtures
 
 ALGORITHMS = ("logreg", "forest", "logreg_cv", "forest_cv", "year")
@@ -289,6 +289,7 @@ def _run_one(r, prepared):
         run = jobs.run_year(prepared["labels"], prepared["features"], r["max_iter"],
                             r["reg_param"], r["elastic_net"], r["train_split"])
         m = run.test_metrics().first()
+        run.release()
         return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"]}
     if algo == "logreg":
         est = models.logistic_regression(r["max_iter"], r["reg_param"], r["elastic_net"])
@@ -374,6 +375,7 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
             _to_frame(spark, [base]).write.mode("append").parquet(results_path)
 
     todo = [r for r in rows if r["run_id"] not in finished]
+    last_staged = None
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for _, group in itertools.groupby(todo, key=lambda r: _input_key(sf_dir, r)):
             group = list(group)
@@ -398,6 +400,10 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
                                    bases[r["run_id"]]) for r in ready]
             for fut in as_completed(futures):
                 record(fut.result())
+            last_staged = prepared[0] if isinstance(prepared, tuple) else None
+    # the sweep's own staged tables: the last joined input and the parsed files
+    for staged in ([last_staged] if last_staged is not None else []) + list(parsed.values()):
+        release(staged)
     return _to_frame(spark, sorted(out, key=lambda o: o["run_id"]))
 
 

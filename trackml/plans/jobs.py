@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trackml.operators import evaluate, indexing, models, prepare, tuning
 from trackml.operators.prepare import SUBSET, TEST, TRAIN
-from trackml.session import stage
+from trackml.session import release, stage
 from trackml.sources.files import KEY, LABEL, YEAR
 
 
@@ -44,6 +44,10 @@ class GenreRun:
     predictions: DataFrame
     cv_results: DataFrame | None = None
 
+    def release(self) -> list[str]:
+        """Free the staged input once the run's results are collected."""
+        return release(self.prepared)
+
     def accuracy(self) -> DataFrame:
         """A4 + P7 with the counts of the run: one row."""
         acc = evaluate.accuracy(self.predictions)
@@ -231,6 +235,10 @@ class YearRun:
     model: object
     predictions: DataFrame
 
+    def release(self) -> list[str]:
+        """Free the staged input once the run's results are collected."""
+        return release(self.prepared)
+
     def training_metrics(self) -> DataFrame:
         """RMSE and r2 on the training rows, from the model's summary."""
         s = self.model.summary

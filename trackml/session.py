@@ -16,6 +16,7 @@ a re-read of the staged files, not a re-run of scans and joins.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -136,3 +137,21 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None,
     staged = spark.read.parquet(path)
     # partitioned columns come back last; keep the caller's column order
     return staged.select(*df.columns)
+
+
+_STAGED_ROOT = re.compile(r"^(.*/trackml/[^/]+-[0-9a-f]{32})/")
+
+
+def release(staged: DataFrame) -> list[str]:
+    """Free the storage of a table written by :func:`stage`.
+
+    The folder is overwritten with an empty table of the same schema (plain
+    ``DataFrame.write``; no file-system handles).  Frames read from it are
+    empty afterwards.  Returns the released folders.
+    """
+    roots = sorted({m.group(1) for f in staged.inputFiles()
+                    if (m := _STAGED_ROOT.match(f))})
+    spark = staged.sparkSession
+    for root in roots:
+        spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(root)
+    return roots
