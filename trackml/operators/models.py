@@ -126,6 +126,12 @@ def classification_pipeline(label_model: StringIndexerModel, feature_model: Vect
     return Pipeline(stages=[label_model, feature_model, estimator, label_decoder(label_model)])
 
 
+def index_stages(label_model: StringIndexerModel, feature_model: VectorIndexerModel
+                 ) -> PipelineModel:
+    """The two fitted indexers as one transformer (applied before tuning)."""
+    return PipelineModel(stages=[label_model, feature_model])
+
+
 def estimator_stage(model: PipelineModel):
     """The fitted estimator inside a classification pipeline (third stage)."""
     return model.stages[2]

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +43,7 @@ class GenreRun:
     model: object
     predictions: DataFrame
     cv_results: DataFrame | None = None
+    cv_model: object | None = None
 
     def release(self) -> list[str]:
         """Free the staged input once the run's results are collected."""
@@ -198,16 +199,26 @@ def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
     """Entry B: grid search with k-fold CV on TRAIN, best point refitted, TEST scored.
 
     Folds come from the key (``fold_method``, see
-    :func:`trackml.functions.columns.key_bucket`)."""
+    :func:`trackml.functions.columns.key_bucket`).  The fitted indexers are
+    applied to TRAIN before the folds, so the tuned pipeline is only
+    estimator + decoder and the fold frames that ``CrossValidator`` caches
+    already hold indexed rows: no fit re-runs the indexers.  ``run.model`` is
+    the full pipeline (indexers, best model, decoder); ``run.cv_model`` the
+    ``CrossValidatorModel``.
+    """
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
         inputs, handle_invalid, num_folds, index_on, name, prepared, fold_method)
     estimator = models.scale_estimator(estimator, train)
-    pipeline = models.classification_pipeline(label_model, feature_model, estimator)
-    cv_model = tuning.cross_validate(pipeline, grid, train, num_folds, parallelism, seed)
-    predictions = cv_model.transform(test)
+    indexed = models.index_stages(label_model, feature_model).transform(train)
+    tuned = Pipeline(stages=[estimator, indexing.label_decoder(label_model)])
+    cv_model = tuning.cross_validate(tuned, grid, indexed, num_folds, parallelism, seed)
+    best = cv_model.bestModel
+    model = PipelineModel(stages=[label_model, feature_model, *best.stages])
+    predictions = model.transform(test)
     results = tuning.grid_results(prepared.sparkSession, cv_model, param_names)
     return GenreRun(prepared, train, test, sizes.get(TRAIN, 0), sizes.get(TEST, 0), names,
-                    label_model, feature_model, cv_model, predictions, cv_results=results)
+                    label_model, feature_model, model, predictions, cv_results=results,
+                    cv_model=cv_model)
 
 
 def run_genre_logreg_cv(inputs, max_iter=(10,), reg_param=(0.3,), elastic_net=(0.2,),
