@@ -54,3 +54,10 @@ def test_twin_matches(spark, con, name):
     sql_cols, sql_rows = _canon(con.execute(E.oracle_sql()[name]).df())
     assert spark_cols == sql_cols
     assert spark_rows == sql_rows
+
+
+def test_every_query_documented():
+    import os
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    missing = [name for name in E.queries() if f"`{name}`" not in readme]
+    assert not missing, missing
