@@ -97,9 +97,10 @@ def random_forest(num_trees: int, max_depth: int = 5, feature_subset_strategy: s
     """
     if num_trees is None or num_trees < 1:
         raise ValueError("num_trees is required and must be positive")
+    strategy = check_subset_strategy(feature_subset_strategy)
     return RandomForestClassifier(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
                                   numTrees=num_trees, maxDepth=max_depth,
-                                  featureSubsetStrategy=check_subset_strategy(feature_subset_strategy),
+                                  featureSubsetStrategy=strategy,
                                   impurity=check_impurity(impurity), maxBins=max_bins,
                                   seed=seed, cacheNodeIds=True,
                                   checkpointInterval=checkpoint_interval)
