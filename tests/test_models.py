@@ -107,3 +107,11 @@ def test_release_staged_input(spark):
     assert len(roots) == 1 and "/trackml/genre-" in roots[0]
     assert spark.read.parquet(roots[0]).count() == 0
     assert round(acc, 6) == 0.184932
+
+
+def test_year_hash_split(spark):
+    run = jobs.run_year(fixtures.order_year_labels(spark, SF_SMALL),
+                        fixtures.order_features(spark, SF_SMALL), split="hash")
+    n_train, n_test = run.train.count(), run.test.count()
+    assert n_train + n_test == run.prepared.count()
+    assert 0.6 < n_train / (n_train + n_test) < 0.8

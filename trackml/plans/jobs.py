@@ -270,8 +270,9 @@ def prepare_year(labels: DataFrame, features: DataFrame, feature_cols: list[str]
     joined = prepare.join_year(labels, packed)
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     assembled = prepare.select_rename(assembled, [KEY, YEAR, prepare.FEATURES], {YEAR: LABEL})
-    if split == "key":
-        return stage(prepare.key_split(assembled, train_fraction), name,
+    if split in ("key", "hash"):
+        method = "hash" if split == "hash" else "auto"
+        return stage(prepare.key_split(assembled, train_fraction, method=method), name,
                      partition_by=[SUBSET]), names
     return stage(assembled, name), names
 
@@ -280,16 +281,23 @@ def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_par
              elastic_net: float = 0.8, train_fraction: float = 0.7, split: str = "random",
              seed: int = models.DEFAULT_SEED, feature_cols: list[str] | None = None,
              solver: str = "auto", handle_invalid: str = "error", name: str = "year") -> YearRun:
-    """Entry C.  ``split="random"`` is the reference's ``randomSplit`` (seeded);
-    ``split="key"`` is reproducible across runs and engines."""
-    if split not in ("random", "key"):
-        raise ValueError("split must be 'random' or 'key'")
+    """Entry C.
+
+    ``split="random"`` is the reference's ``randomSplit`` (seeded here).  Spark
+    sorts every partition by all orderable columns to make it deterministic,
+    once per side.  ``split="hash"`` puts a row in TRAIN when the xxhash64 of
+    its key falls in the first ``train_fraction`` of 100 buckets: a uniform
+    split with no sort, stored as a partition column of the staged table.
+    ``split="key"`` uses ``key mod 100`` for integer keys (reproducible in SQL).
+    """
+    if split not in ("random", "key", "hash"):
+        raise ValueError("split must be 'random', 'key' or 'hash'")
     prepared, names = prepare_year(labels, features, feature_cols, handle_invalid, split,
                                    train_fraction, name)
-    if split == "key":
-        train, test = prepare.split_by_subset(prepared)
-    else:
+    if split == "random":
         train, test = prepare.random_split(prepared, train_fraction, seed)
+    else:
+        train, test = prepare.split_by_subset(prepared)
     estimator = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver)
     model = models.scale_estimator(estimator, train).fit(train)
     return YearRun(prepared, train, test, names, model, model.transform(test))
