@@ -27,6 +27,11 @@ def test_defaults_and_rejections(spark):
         {"run_id": 2, "algorithm": "forest", "splits_path": "s", "num_trees": 7},
         {"run_id": 3, "algorithm": "year"},
         {"run_id": 4, "algorithm": "logreg", "reg_param": 0.01},
+        {"run_id": 5, "algorithm": "logreg_cv", "splits_path": "s", "max_iter": 10,
+         "reg_param": 0.3},
+        {"run_id": 6, "algorithm": "forest_cv", "splits_path": "s", "num_trees": 5,
+         "max_depth": 4, "max_bins": 16, "impurity": "gini",
+         "feature_subset_strategy": "auto"},
     ])
     rows = {r.run_id: r for r in experiments.apply_defaults(m).collect()}
     assert (rows[0].max_iter, rows[0].reg_param, rows[0].elastic_net) == (10, 0.3, 0.8)
@@ -35,6 +40,8 @@ def test_defaults_and_rejections(spark):
     assert rows[2].status == "ready" and rows[2].max_depth == 5 and rows[2].impurity == "gini"
     assert rows[3].status == "ready" and rows[3].train_split == 0.7
     assert rows[4].status.startswith("rejected")
+    assert rows[5].status == "rejected: grid list elastic_net missing"
+    assert rows[6].status == "ready" and rows[6].num_folds == 10
 
 
 def test_readiness(spark):

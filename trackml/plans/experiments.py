@@ -38,11 +38,18 @@ PARAM_DEFAULTS = {
     "max_depth": 5,
     "feature_subset_strategy": "auto",
     "impurity": "gini",
+    "max_bins": 32,
     "train_split": 0.7,
     "num_folds": 10,
 }
 PARAM_COLUMNS = ("max_iter", "reg_param", "elastic_net", "num_trees", "max_depth",
-                 "feature_subset_strategy", "impurity", "train_split", "num_folds")
+                 "feature_subset_strategy", "impurity", "max_bins", "train_split", "num_folds")
+# Grid-search jobs have no default for their parameter lists (only the number
+# of folds has one): a missing value rejects the row.
+GRID_REQUIRED = {
+    "logreg_cv": ("max_iter", "reg_param", "elastic_net"),
+    "forest_cv": ("num_trees", "max_depth", "max_bins", "impurity", "feature_subset_strategy"),
+}
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("run_id", T.IntegerType()),
@@ -60,6 +67,7 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("max_depth", T.IntegerType()),
     T.StructField("feature_subset_strategy", T.StringType()),
     T.StructField("impurity", T.StringType()),
+    T.StructField("max_bins", T.IntegerType()),
     T.StructField("train_split", T.DoubleType()),
     T.StructField("num_folds", T.IntegerType()),
 ])
@@ -104,18 +112,23 @@ def manifest_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def apply_defaults(manifest: DataFrame) -> DataFrame:
     """Parameter value if given, else the job's default; adds ``status``.
 
-    A forest without ``num_trees`` (no default in the reference) and a genre
-    job without a split set are ``rejected``; everything else is ``ready``.
+    ``rejected`` (as the reference's jobs would fail): a forest without
+    ``num_trees``, a grid-search row missing one of its grid parameters, a
+    genre job without a split set.  Everything else is ``ready``.
     """
-    out = manifest
-    for name, default in PARAM_DEFAULTS.items():
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
     forest = F.col("algorithm").isin("forest", "forest_cv")
     genre = F.col("algorithm") != "year"
-    status = (F.when(forest & F.col("num_trees").isNull(), F.lit("rejected: num_trees missing"))
-              .when(genre & F.col("splits_path").isNull(), F.lit("rejected: splits missing"))
+    status = F.when(forest & F.col("num_trees").isNull(), F.lit("rejected: num_trees missing"))
+    for algo, names in GRID_REQUIRED.items():
+        for name in names:
+            status = status.when((F.col("algorithm") == algo) & F.col(name).isNull(),
+                                 F.lit(f"rejected: grid list {name} missing"))
+    status = (status.when(genre & F.col("splits_path").isNull(), F.lit("rejected: splits missing"))
               .otherwise(F.lit("ready")))
-    return out.withColumn("status", status)
+    out = manifest.withColumn("status", status)
+    for name, default in PARAM_DEFAULTS.items():
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
+    return out
 
 
 def _manifest_paths(manifest: DataFrame) -> DataFrame:
@@ -227,8 +240,8 @@ def _params_text(r) -> str:
     keys = {"logreg": ("max_iter", "reg_param", "elastic_net"),
             "logreg_cv": ("max_iter", "reg_param", "elastic_net", "num_folds"),
             "forest": ("num_trees", "max_depth", "feature_subset_strategy", "impurity"),
-            "forest_cv": ("num_trees", "max_depth", "feature_subset_strategy", "impurity",
-                          "num_folds"),
+            "forest_cv": ("num_trees", "max_depth", "max_bins", "feature_subset_strategy",
+                          "impurity", "num_folds"),
             "year": ("max_iter", "reg_param", "elastic_net", "train_split")}[r["algorithm"]]
     return ",".join(f"{k}={r[k]}" for k in keys)
 
@@ -296,14 +309,14 @@ def _run_one(r, prepared):
         run = jobs.run_genre(None, est, prepared=prepared)
     elif algo == "forest":
         est = models.random_forest(r["num_trees"], r["max_depth"], r["feature_subset_strategy"],
-                                   r["impurity"])
+                                   r["impurity"], max_bins=r["max_bins"])
         run = jobs.run_genre(None, est, prepared=prepared)
     elif algo == "logreg_cv":
         run = jobs.run_genre_logreg_cv(None, [r["max_iter"]], [r["reg_param"]],
                                        [r["elastic_net"]], num_folds=r["num_folds"],
                                        prepared=prepared)
     else:
-        run = jobs.run_genre_forest_cv(None, [r["num_trees"]], [r["max_depth"]], [32],
+        run = jobs.run_genre_forest_cv(None, [r["num_trees"]], [r["max_depth"]], [r["max_bins"]],
                                        [r["impurity"]], [r["feature_subset_strategy"]],
                                        num_folds=r["num_folds"], prepared=prepared)
     a = run.accuracy().first()
