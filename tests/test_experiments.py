@@ -149,3 +149,17 @@ def test_manifest_csv_and_cli(spark, tmp_dir):
                  "--results", results]) == 0
     done = spark.read.parquet(results).where("status = 'done'").count()
     assert done == 2
+
+
+def test_sweep_runs_grid_search_rows(spark):
+    base = {"feature_set": "orders", "label_set": "orders", "split_set": "orders",
+            "splits_path": "x", "num_folds": 3}
+    m = experiments.manifest_from_rows(spark, [
+        dict(base, run_id=0, algorithm="logreg_cv", max_iter=10, reg_param=0.3,
+             elastic_net=0.8),
+        dict(base, run_id=1, algorithm="forest_cv", num_trees=3, max_depth=3, max_bins=16,
+             impurity="gini", feature_subset_strategy="auto"),
+    ])
+    res = {r.run_id: r for r in experiments.run_sweep(spark, m, SF_SMALL).collect()}
+    assert res[0].status == "done" and round(res[0].accuracy, 6) == 0.184932
+    assert res[1].status == "done" and res[1].n_test == 292
