@@ -57,3 +57,45 @@ def test_staged_filters_reach_the_scan(spark):
     plan = _plan(prepare.subset_rows(staged, prepare.TRAIN).where(F.col("fold") != 1))
     assert "PartitionFilters: [isnotnull(subset" in plan and "(subset#" in plan
     assert "PushedFilters: [IsNotNull(fold), Not(EqualTo(fold,1))]" in plan
+
+
+SKEW_CONF = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def test_hot_track_partition_is_split(spark):
+    """A track with two thirds of the label rows: with the session default
+    forceOptimizeSkewedJoin, AQE splits its partition in the chained joins
+    (sizes lowered here so that a small input counts as skewed)."""
+    from trackml.session import DEFAULT_CONF
+
+    assert DEFAULT_CONF["spark.sql.adaptive.forceOptimizeSkewedJoin"] == "true"
+    old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        n = 20000
+        splits = spark.range(n).select(F.col("id").alias("track_id"),
+                                       F.lit("TRAIN").alias("subset"))
+        normal = spark.range(n).select(F.col("id").alias("track_id"), F.lit("x").alias("label"))
+        hot = spark.range(2 * n).select(F.lit(7).cast("long").alias("track_id"),
+                                        F.sha2(F.col("id").cast("string"), 256).alias("label"))
+        feats = spark.range(n).select(F.col("id").alias("track_id"),
+                                      F.col("id").cast("double").alias("a"))
+        joined = prepare.join_tracks(splits, normal.unionByName(hot), feats)
+        assert len(joined.collect()) == 3 * n
+        plan = _plan(joined)
+        assert "isFinalPlan=true" in plan
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

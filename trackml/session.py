@@ -28,6 +28,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the track joins chain two sort-merge joins in one stage; AQE splits a
+    # skewed partition there (e.g. a track holding a third of all label rows)
+    # only when allowed to add the shuffle this needs above the split join
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     # No broadcast from planner estimates (they can be far off for aggregates
     # and joins); AQE broadcasts a join side only after its shuffle has been
