@@ -99,3 +99,15 @@ def test_hot_track_partition_is_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_staged_tables_live_in_the_checkpoint_folder(spark):
+    from trackml.session import checkpoint_root, stage
+
+    root = checkpoint_root(spark)
+    assert root == spark.sparkContext.getCheckpointDir()
+    staged = stage(spark.range(10).withColumnRenamed("id", "track_id"), "probe")
+    files = staged.inputFiles()
+    bare = root.replace("file://", "").replace("file:", "")
+    assert files and all(bare in f for f in files)
+    assert staged.count() == 10
