@@ -261,7 +261,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
                           .groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     members = _clusters(scratch, signed, classes)
 
-    blocks = (source.join(members.withColumnRenamed("node", "doc_id"), "doc_id")
+    # one plan at every size: the member table grows with the corpus, so it is
+    # merged with the texts and not broadcast while it happens to be small
+    blocks = (source.join(members.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
               .withColumnRenamed("doc_id", "node")
               .select("node", "root", "blocks", "block", "n", "set_key", "text")
               .mapInArrow(_members(p), _MEMBER)
