@@ -7,22 +7,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackml.llm import minhash
+from trackml.llm import minhash, packing, urls, warc
+from trackml.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back by byte ranges."""
+    folder = Scratch(spark, "warc").folder("archives")
+    manifest = warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    read = warc.read_warc(manifest)
+    return read.select(
+        F.nullif(warc.page_id("record_id"), F.lit("")).cast("long").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.expr("substr(payload_digest, length('sha256:') + 1)").alias("payload_digest"),
+        "record_type",
+        F.nullif(warc.page_id("refers_to"), F.lit("")).cast("long").alias("refers_to"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in 1024-token sequences."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups: three-word shingles, similarity of 0.85 or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"),
                                    minhash.Params(words=3, percent=85))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS d FROM pages),
+m AS (
+  SELECT *, octet_length(encode(payload)) AS n,
+         min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m""",
+    "op10_urls": urls.judge_sql(),
+}
