@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackml.llm import minhash, packing, urls, warc
+from trackml.llm import minhash, packing, rules, urls, warc
 from trackml.llm.scratch import Scratch
 
 
@@ -48,6 +48,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    minhash.Params(words=3, percent=85))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return urls.judge(_table(spark, sf_dir, "pages"))
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op9_rules": op9_rules,
     "op10_urls": op10_urls,
 }
 
@@ -72,5 +78,6 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
             THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM m""",
+    "op9_rules": rules.judge_sql(),
     "op10_urls": urls.judge_sql(),
 }
