@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackml.llm import minhash, packing, rules, urls, warc
+from trackml.llm import minhash, packing, repeats, rules, tiling, urls, warc
 from trackml.llm.scratch import Scratch
 
 
@@ -48,6 +48,18 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    minhash.Params(words=3, percent=85))
 
 
+def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leak into each document."""
+    return tiling.decontaminate(_table(spark, sf_dir, "documents"),
+                                _table(spark, sf_dir, "benchmark"))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 20 words or more that occur earlier."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdict of every document."""
     return rules.judge(_table(spark, sf_dir, "documents"))
@@ -62,6 +74,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op7_tiling": op7_tiling,
+    "op8_repeats": op8_repeats,
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
 }
