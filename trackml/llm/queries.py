@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackml.llm import minhash, packing, repeats, rules, tiling, urls, warc
+from trackml.llm import minhash, packing, quality_model, repeats, rules, tiling, toxicity, urls, warc
 from trackml.llm.scratch import Scratch
 
 
@@ -48,6 +48,17 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    minhash.Params(words=3, percent=85))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.score(_table(spark, sf_dir, "documents"),
+                               _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that leak into each document."""
     return tiling.decontaminate(_table(spark, sf_dir, "documents"),
@@ -74,6 +85,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_tiling": op7_tiling,
     "op8_repeats": op8_repeats,
     "op9_rules": op9_rules,
