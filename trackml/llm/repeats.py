@@ -10,10 +10,10 @@ document and an earlier start) is removed; windows are judged on the input.
    hash stands for it (winnowing), the same one wherever the window occurs.
    Phrases are counted over all documents; a window that repeats has a phrase
    that recurs.
-3. Documents with recurring phrases are dealt into shards of about
-   ``SHARD_BYTES`` of text.  Each shard compiles an Aho-Corasick automaton of
-   the recurring phrases that occur in it and streams its documents through it;
-   windows around the located phrases are the candidates.  An automaton is
+3. Documents are dealt into shards of about ``SHARD_BYTES`` of text.  Each shard
+   compiles an Aho-Corasick automaton of the recurring phrases that occur in it
+   and streams the documents that hold any through it; windows around the
+   located phrases are the candidates.  An automaton is
    bounded by its shard's text, and a text meets one automaton, however many
    phrases the corpus has.
 4. Candidates are grouped by a 128-bit key of the window's words; all but the
@@ -29,13 +29,14 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackml.llm import text as T
 from trackml.llm.scratch import Scratch
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Scan:
@@ -102,6 +103,10 @@ def _scan(window: int, phrase: int):
 _WINDOW = "key1 long, key2 long, doc_id long, text_key long, start int"
 
 
+_WINDOW_TYPES = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.int64())
+                           for f in _WINDOW.split(", ")])
+
+
 class Automaton:
     """Aho-Corasick automaton of a shard's recurring phrases."""
 
@@ -143,6 +148,9 @@ class Automaton:
 
 def _locate(window: int, phrase: int):
     def run(key, texts: pa.Table, phrases: pa.Table) -> pa.Table:
+        texts = texts.filter(pc.is_in(texts["doc_id"], pc.unique(phrases["doc_id"])))
+        if not len(texts):
+            return pa.table({n: [] for n in _WINDOW_TYPES.names}, schema=_WINDOW_TYPES)
         ids = T.column(texts, "doc_id").to_numpy(zero_copy_only=False)
         machine = Automaton(T.column(phrases, "phrase").to_numpy().view(np.uint64))
         column = T.column(texts, "text")
@@ -219,20 +227,20 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     copies = known.where("copy").select(
         "doc_id", "text_key", F.lit(None).cast("array<int>").alias("starts"))
 
-    places = known.where("not copy").select(
-        "doc_id", "n_bytes", F.explode("phrases").alias("phrase"))
+    copies = scratch.put("copies", copies.distinct())
+    places = known.where("not copy").select("doc_id", F.explode("phrases").alias("phrase"))
     recurring = scratch.put("recurring", places.groupBy("phrase").agg(
         F.count("*").alias("n")).where("n > 1").select("phrase"))
     hits = scratch.put("hits", places.join(recurring, "phrase", "left_semi")
-                       .select("doc_id", "n_bytes", "phrase"))
-    whose = hits.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
-    size = whose.agg(F.sum("n_bytes")).first()[0] or 0
+                       .select("doc_id", "phrase"))
+    size = scanned.agg(F.sum("n_bytes")).first()[0] or 0
+    scratch.drop("scanned", "again", "recurring")
     shard = F.expr(f"pmod(xxhash64(doc_id), {size // SHARD_BYTES + 1})")
-    # merged at every size: the documents with recurring phrases grow with the corpus
-    texts = source.join(whose.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    windows = scratch.put("windows", texts.withColumn("shard", shard).groupBy("shard").cogroup(
+    texts = source.where("doc_id is not null").withColumn("shard", shard)
+    windows = scratch.put("windows", texts.groupBy("shard").cogroup(
         hits.withColumn("shard", shard).groupBy("shard")).applyInArrow(
         _locate(window, phrase), _WINDOW))
+    scratch.drop("hits")
 
     firsts = scratch.put("firsts", windows.groupBy("key1", "key2").agg(
         F.min(F.struct("doc_id", "start")).alias("first"),
@@ -242,8 +250,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     later = windows.join(firsts, ["key1", "key2"]).where(
         "doc_id <> first_doc or start <> first_start").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set("start")).alias("starts"))
-    marks = scratch.put("marks", later.union(copies.distinct()).groupBy("doc_id").agg(
+    marks = scratch.put("marks", later.union(copies).groupBy("doc_id").agg(
         F.collect_list(F.struct("text_key", "starts")).alias("marks")))
-    scratch.drop("scanned", "again", "recurring", "hits", "windows", "firsts")
+    scratch.drop("copies", "windows", "firsts")
     return source.join(marks.hint("merge"), "doc_id", "left").select(
         "doc_id", "text", "marks").mapInArrow(_cut(window, phrase), _KEPT)
