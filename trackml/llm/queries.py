@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackml.llm import minhash, packing, quality_model, repeats, rules, tiling, toxicity, urls, warc
+from trackml.llm import minhash, packing, pii, quality_model, repeats, rules, tiling, toxicity, urls, warc
 from trackml.llm.scratch import Scratch
 
 
@@ -37,6 +37,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif(warc.page_id("refers_to"), F.lit("")).cast("long").alias("refers_to"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return pii.replaced(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "row.text", "n_entities")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in 1024-token sequences."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
@@ -83,6 +89,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
