@@ -1,21 +1,29 @@
 """Corpus pipeline: stages over the documents table, each on what the last one kept.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackml.llm import minhash
+from trackml.llm import minhash, packing, pii, quality_model, tiling
+from trackml.llm.queries import tokenizer_path
 from trackml.llm.scratch import Scratch
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.7 or more."""
+    return quality_model.good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+    """Of each near-duplicate group the document with the smallest doc_id.
 
-    Rows that repeat a kept doc_id stay as one row; rows without doc_id stay.
+    Five-word shingles, similarity of 0.8 or more.  Rows that share a kept
+    doc_id stay as one row; rows without doc_id stay.
     """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -23,10 +31,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs.where("doc_id is null"))
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return tiling.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data."""
+    return pii.pseudonymize(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in 1024-token sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
+#: SQL cannot express a trained classifier
 ORACLE_SQL = None
 
 

@@ -258,6 +258,25 @@ def _score(shared):
     return run
 
 
+def _keep(shared, threshold: float):
+    def run(batches):
+        vectors, network = shared.value
+        for batch in batches:
+            for s in T.slices(T.column(batch, "text")):
+                good = network.scores(pooled(s, vectors)) >= threshold
+                yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(good))
+    return run
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
+              rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (vectors, train(docs, labels, vectors, rows=rows)))
+    return docs.mapInArrow(_keep(shared, threshold), docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = TRAIN_ROWS) \
         -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""

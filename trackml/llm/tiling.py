@@ -129,42 +129,61 @@ class Block:
                 if (np.cumsum(edge[:-1]) > 0).sum() >= threshold * size:
                     yield k
 
-
-_LEAK = ("doc_id long, item_id long, n_tokens int, covered int, coverage double, "
-         "tiles array<struct<item_start:int,doc_start:int,length:int>>")
-
-
-def _find(block, threshold: float):
+    def live(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Documents of a slice that hold any seed."""
+        out = set()
+        for n, seed, _, _ in self.seeds:
+            grams, begin = T.ngrams(hashes, first, n)
+            at = np.searchsorted(seed, grams)
+            at[at == len(seed)] = 0
+            hit = np.flatnonzero(seed[at] == grams)
+            out.update((np.searchsorted(begin, hit, "right") - 1).tolist())
+        return np.array(sorted(out), np.int64)
+
+    def leaks(self, doc: np.ndarray, threshold: float) -> Iterator[tuple]:
+        """``(item id, tokens, covered tokens, tiles)`` of the items that leak into a document."""
+        for k in self.candidates(doc, threshold):
+            item_id, item = self.items[k]
+            found = tiles(item, doc, min(self.least, len(item)))
+            covered = sum(n for _, _, n in found)
+            if covered >= threshold * len(item):
+                yield item_id, len(item), covered, sorted(found)
+
+
+def _find(shared, threshold: float):
     def run(batches):
-        b = block.value
+        block = shared.value
         for batch in batches:
             ids = T.column(batch, "doc_id")
             for s in T.slices(T.column(batch, "text")):
                 hashes, first = tokens(s)
-                live = np.zeros(s.hi - s.lo, bool)
-                for n, seed, _, _ in b.seeds:
-                    grams, begin = T.ngrams(hashes, first, n)
-                    at = np.searchsorted(seed, grams)
-                    at[at == len(seed)] = 0
-                    live[np.searchsorted(begin, np.flatnonzero(seed[at] == grams), "right") - 1] = True
-                rows = []
-                for i in np.flatnonzero(live).tolist():
-                    doc = hashes[first[i]:first[i + 1]]
-                    for k in b.candidates(doc, threshold):
-                        item_id, item = b.items[k]
-                        found = tiles(item, doc, min(b.least, len(item)))
-                        covered = sum(n for _, _, n in found)
-                        if covered >= threshold * len(item):
-                            rows.append({
-                                "doc_id": ids[s.lo + i].as_py(), "item_id": item_id,
-                                "n_tokens": len(item), "covered": covered,
-                                "coverage": covered / len(item),
-                                "tiles": [{"item_start": x, "doc_start": y, "length": n}
-                                          for x, y, n in sorted(found)]})
+                rows = [{"doc_id": ids[s.lo + i].as_py(), "item_id": item_id, "n_tokens": size,
+                         "covered": covered, "coverage": covered / size,
+                         "tiles": [{"item_start": x, "doc_start": y, "length": n}
+                                   for x, y, n in found]}
+                        for i in block.live(hashes, first).tolist()
+                        for item_id, size, covered, found in block.leaks(
+                            hashes[first[i]:first[i + 1]], threshold)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
     return run
 
 
+def _keep(shared, threshold: float):
+    def run(batches):
+        block = shared.value
+        for batch in batches:
+            for s in T.slices(T.column(batch, "text")):
+                hashes, first = tokens(s)
+                clean = np.ones(s.hi - s.lo, bool)
+                for i in block.live(hashes, first).tolist():
+                    clean[i] = next(block.leaks(hashes[first[i]:first[i + 1]], threshold),
+                                    None) is None
+                yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(clean))
+    return run
+
+
+_LEAK = ("doc_id long, item_id long, n_tokens int, covered int, coverage double, "
+         "tiles array<struct<item_start:int,doc_start:int,length:int>>")
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int32()),
     ("covered", pa.int32()), ("coverage", pa.float64()),
@@ -204,6 +223,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5,
     return out
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, least: int = 5,
+               threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, into whose text no item leaks."""
+    context = docs.sparkSession.sparkContext
+    for block in blocks(benchmark, least):
+        docs = docs.mapInArrow(_keep(context.broadcast(block), threshold), docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5,
                   threshold: float = 0.5) -> DataFrame:
     """``doc_id, contaminated, n_items, item_id, coverage, n_tiles`` per row.
