@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from trackml.llm import text as T
 from trackml.llm.scratch import Scratch
 
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 18
 #: multiplicative weights: steps, fall of a price over full cover, largest
 #: cover of a step, and how far below the dearest a configuration may be worth
 STEPS, RATE, STEP, SLACK = 80, 4.0, 0.025, 0.05
