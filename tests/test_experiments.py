@@ -75,9 +75,47 @@ def test_sweep_records_failures_and_results(spark, tmp_dir):
     assert spark.read.parquet(path).count() == 3
     summary = experiments.summarize(spark.read.parquet(path)).collect()
     assert len(summary) == 1 and summary[0].n_runs == 1
-    # a second sweep over the same results table skips the finished run
-    again = experiments.run_sweep(spark, m, SF_SMALL, path).collect()
-    assert sorted(r.run_id for r in again) == [1, 2]
+    # a second sweep over the same results table does not run the finished run
+    # again, and still returns a row for every manifest row
+    again = {r.run_id: r for r in experiments.run_sweep(spark, m, SF_SMALL, path).collect()}
+    assert sorted(again) == [0, 1, 2] and again[0] == res[0]
+    assert spark.read.parquet(path).where("run_id = 0").count() == 1
+
+
+def test_resume_is_keyed_on_what_a_run_computes(spark, tmp_dir):
+    base = {"feature_set": "orders", "label_set": "orders", "split_set": "orders",
+            "splits_path": "x", "run_id": 0}
+    path = f"{tmp_dir}/results"
+    one = experiments.manifest_from_rows(spark, [dict(base, algorithm="logreg")])
+    other = experiments.manifest_from_rows(spark, [dict(base, algorithm="forest", num_trees=2)])
+    renumbered = experiments.manifest_from_rows(
+        spark, [dict(base, algorithm="logreg", run_id=7)])
+    first = experiments.run_sweep(spark, one, SF_SMALL, path).first()
+    second = experiments.run_sweep(spark, other, SF_SMALL, path).first()
+    third = experiments.run_sweep(spark, renumbered, SF_SMALL, path).first()
+    assert (first.algorithm, second.algorithm) == ("logreg", "forest")
+    assert (third.run_id, third.accuracy) == (7, first.accuracy)
+    assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("ids", [(1, 1), (None,), (0, None)])
+def test_missing_and_repeated_ids_are_refused(spark, tmp_dir, ids):
+    m = experiments.manifest_from_rows(
+        spark, [{"run_id": i, "algorithm": "logreg"} for i in ids])
+    with pytest.raises(ValueError, match="run_id"):
+        experiments.run_sweep(spark, m, SF_SMALL, f"{tmp_dir}/results")
+
+
+def test_check_keeps_every_row(spark, tmp_dir):
+    from trackml.__main__ import main
+
+    path = f"{tmp_dir}/runs.csv"
+    with open(path, "w") as fh:
+        fh.write("run_id,algorithm,features_path\n")
+        fh.writelines(f"{i},year,{SF_SMALL}/f{i}.csv\n" for i in range(1100))
+    out = f"{tmp_dir}/ready"
+    assert main(["check", "--manifest", path, "--roots", SF_SMALL, "--out", out]) == 0
+    assert spark.read.parquet(out).where("status = 'MISSING'").count() == 1100
 
 
 def test_sweep_over_text_files(spark, tmp_dir):
@@ -143,7 +181,8 @@ def test_manifest_csv_and_cli(spark, tmp_dir):
     m = read_manifest(spark, path)
     assert m.schema == experiments.MANIFEST_SCHEMA
     assert [r.num_trees for r in m.orderBy("run_id").collect()] == [None, 3]
-    assert main(["check", "--manifest", path, "--roots", SF_SMALL]) == 0
+    assert main(["check", "--manifest", path, "--roots", SF_SMALL,
+                 "--out", f"{tmp_dir}/ready"]) == 0
     results = f"{tmp_dir}/results"
     assert main(["sweep", "--manifest", path, "--fixtures", SF_SMALL,
                  "--results", results]) == 0
@@ -163,3 +202,19 @@ def test_sweep_runs_grid_search_rows(spark):
     res = {r.run_id: r for r in experiments.run_sweep(spark, m, SF_SMALL).collect()}
     assert res[0].status == "done" and round(res[0].accuracy, 6) == 0.184932
     assert res[1].status == "done" and res[1].n_test == 292
+
+
+def test_grid_lists_give_every_point_and_a_best_one(spark):
+    m = experiments.manifest_from_rows(spark, [
+        {"feature_set": "orders", "label_set": "orders", "split_set": "orders",
+         "splits_path": "x", "num_folds": 3, "run_id": 0, "algorithm": "logreg_cv",
+         "max_iter": 5, "reg_params": [0.3, 0.1], "elastic_nets": [0.0, 1.0]}])
+    [row] = experiments.run_sweep(spark, m, SF_SMALL).collect()
+    assert row.status == "done" and [g.grid_id for g in row.grid] == [0, 1, 2, 3]
+    assert sum(g.best for g in row.grid) == 1 and len({g.params for g in row.grid}) == 4
+
+
+def test_listed_and_manifest_uris_compare_by_path(spark):
+    uris = ["hdfs:///t/a.csv", "hdfs://nn:8020/t/a.csv", "file:/t/a.csv", "/t/a.csv/"]
+    df = spark.createDataFrame([(u,) for u in uris], "u string")
+    assert {r[0] for r in df.select(experiments._strip_scheme(df.u)).collect()} == {"/t/a.csv"}

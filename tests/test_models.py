@@ -90,14 +90,17 @@ def test_index_on_train_only(spark):
     assert run.predictions.count() == 292
 
 
-def test_aggregation_depth_scaling(spark):
-    assert models.aggregation_depth_for(800) == 2
-    assert models.aggregation_depth_for(100_000) == 3
-    df = spark.range(10).withColumnRenamed("id", "track_id")
-    lr = models.scale_estimator(models.logistic_regression(), df)
-    assert lr.getAggregationDepth() == 2
-    fixed = models.scale_estimator(models.logistic_regression(aggregation_depth=4), df)
-    assert fixed.getAggregationDepth() == 4
+def test_aggregation_depth_is_a_fixed_parameter(spark):
+    assert models.logistic_regression().getAggregationDepth() == models.AGGREGATION_DEPTH
+    assert models.linear_regression(aggregation_depth=4).getAggregationDepth() == 4
+
+
+def test_constant_label_has_no_r2(spark):
+    df = spark.createDataFrame([(3.0, 2.0), (3.0, 4.0)], "label double, prediction double")
+    [row] = evaluate.regression_metrics(df).collect()
+    assert (row.rmse, row.r2) == (1.0, None)
+    [row] = evaluate.accuracy(df.limit(0), "label", "prediction").collect()
+    assert row.accuracy is None
 
 
 def test_release_staged_input(spark):

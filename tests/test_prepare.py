@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from trackml.operators import prepare
 from trackml.sources import fixtures
 
@@ -24,9 +26,14 @@ def test_null_keys_never_match(spark):
     assert prepare.join_tracks(a, b, c).count() == 1
 
 
-def test_drop_absent_column_is_noop(spark):
-    df = spark.createDataFrame([(1, 2.0)], "track_id long, v double")
-    assert prepare.drop_columns(df, "MSD_TRACKID").columns == ["track_id", "v"]
+def test_arrays_of_different_length_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "track_id long, v array<double>")
+    with pytest.raises(ValueError):
+        prepare.pack_features(df)
+    packed, names = prepare.pack_features(df.limit(1))
+    assert names == ["v_0", "v_1"]
+    with pytest.raises(Exception, match="named feature values"):
+        prepare.vectorize(packed, names[:1]).collect()
 
 
 def test_key_split_deterministic_and_whole(spark):

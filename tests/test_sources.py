@@ -110,3 +110,16 @@ def test_packed_vectorize_matches_assembler_rules(inputs):
     staged, _ = jobs.prepare_genre({"splits": only_valid, "labels": inputs["labels"],
                                     "features": f})
     assert staged.count() == 3   # TRAA twice (two labels), TRAB once
+
+
+def test_part_files_with_another_column_order_fail(spark, tmp_dir):
+    import os
+
+    from trackml.sources import files
+
+    os.makedirs(f"{tmp_dir}/parts")
+    for name, header in (("a.csv", "x,y"), ("b.csv", "y,x")):
+        with open(f"{tmp_dir}/parts/{name}", "w") as fh:
+            fh.write(f"{files.SOURCE_KEY},{header}\n1,1.0,2.0\n")
+    with pytest.raises(Exception):
+        files.read_features_csv(spark, f"{tmp_dir}/parts").collect()

@@ -6,7 +6,6 @@ Subpackages:
 * ``operators`` – joins, assembling, splits, indexers, models, tuning, metrics;
 * ``functions`` – column expressions shared by queries and their checks;
 * ``plans``     – the end-to-end jobs and the experiment sweep;
-* ``streaming`` – no streaming work exists in the reference (see its docstring).
 
 ``python -m trackml sweep|check`` runs or checks a manifest of experiments;
 ``docs/SCALE.md`` walks through the physical plans at scale.

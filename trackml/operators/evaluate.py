@@ -34,7 +34,7 @@ def accuracy(predictions: DataFrame, label_col: str = INDEXED_LABEL,
     """A4 + P7: ``n_rows, n_correct, accuracy, test_error`` (error = 1 - accuracy)."""
     agg = predictions.agg(F.count(F.lit(1)).alias("n_rows"),
                           F.sum(hit(label_col, prediction_col)).cast("bigint").alias("n_correct"))
-    acc = F.col("n_correct") / F.col("n_rows")
+    acc = F.try_divide("n_correct", "n_rows")
     return agg.select("n_rows", "n_correct",
                       F.round(acc, decimals).alias("accuracy"),
                       F.round(F.lit(1.0) - acc, decimals).alias("test_error"))
@@ -47,7 +47,7 @@ def per_class_accuracy(predictions: DataFrame, label_col: str = LABEL,
     hit = (F.col(predicted_col) == F.col(label_col)).cast("bigint")
     agg = predictions.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_rows"),
                                             F.sum(hit).alias("n_correct"))
-    return agg.withColumn("accuracy", F.round(F.col("n_correct") / F.col("n_rows"), decimals))
+    return agg.withColumn("accuracy", F.round(F.try_divide("n_correct", "n_rows"), decimals))
 
 
 def evaluator_accuracy(predictions: DataFrame, label_col: str = INDEXED_LABEL,
@@ -65,6 +65,7 @@ def regression_metrics(predictions: DataFrame, label_col: str = LABEL,
 
     r2 = 1 - MSE / var_pop(y) over the same rows.  ``var_pop`` merges partial
     moments per partition (numerically stable, no second pass over the data).
+    A constant label has no r2 (NULL); the RMSE stays.
     """
     y = F.col(label_col).cast("double")
     err = y - F.col(prediction_col)
@@ -72,7 +73,7 @@ def regression_metrics(predictions: DataFrame, label_col: str = LABEL,
                           F.var_pop(y).alias("var_y"))
     return agg.select(F.col("n").alias("n_rows"),
                       F.round(F.sqrt(F.col("mse")), decimals).alias("rmse"),
-                      F.round(F.lit(1.0) - F.col("mse") / F.col("var_y"), decimals).alias("r2"))
+                      F.round(F.lit(1.0) - F.try_divide("mse", "var_y"), decimals).alias("r2"))
 
 
 def evaluator_rmse(predictions: DataFrame, label_col: str = LABEL,

@@ -20,10 +20,6 @@ from trackml.operators.indexing import INDEXED_FEATURES, INDEXED_LABEL, label_de
 from trackml.operators.prepare import FEATURES
 from trackml.sources.files import LABEL
 
-# Defaults of the reference jobs (fixed values).
-LOGREG_DEFAULTS = {"maxIter": 10, "regParam": 0.3, "elasticNetParam": 0.8}
-FOREST_DEFAULTS = {"maxDepth": 5, "featureSubsetStrategy": "auto", "impurity": "gini"}
-LINEAR_DEFAULTS = {"maxIter": 10, "regParam": 0.3, "elasticNetParam": 0.8, "trainSplit": 0.7}
 CLASSIFIER_IMPURITIES = ("gini", "entropy")
 SUBSET_STRATEGIES = ("auto", "all", "onethird", "sqrt", "log2")
 
@@ -31,42 +27,26 @@ SUBSET_STRATEGIES = ("auto", "all", "onethird", "sqrt", "log2")
 # process's string hashing, so it is always passed explicitly.
 DEFAULT_SEED = 42
 
+# Levels of treeAggregate in linear models; never chosen from the data's size.
+AGGREGATION_DEPTH = 2
+
 
 def logistic_regression(max_iter: int = 10, reg_param: float = 0.3,
                         elastic_net: float = 0.8,
-                        aggregation_depth: int | None = None) -> LogisticRegression:
+                        aggregation_depth: int = AGGREGATION_DEPTH) -> LogisticRegression:
     """M1: logistic regression on the indexed columns.
 
     Family is Spark's default ``auto`` (as in the reference): multinomial for
-    more than two classes, binomial for two.  ``aggregation_depth`` unset →
-    chosen from the training partitions (:func:`fit_scaled`).
+    more than two classes, binomial for two.  ``aggregation_depth`` is the
+    depth of the gradient sums' ``treeAggregate`` (raise it on clusters with
+    very many partitions; it changes the order of sums, so it is fixed).
     """
     lr = LogisticRegression(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
                             maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
-    if aggregation_depth is not None:
-        lr.setAggregationDepth(aggregation_depth)
+    lr.setAggregationDepth(aggregation_depth)
     return lr
 
 
-# Above this many partitions one more tree-aggregate level is used.
-DEEP_AGGREGATION_PARTITIONS = 10_000
-
-
-def aggregation_depth_for(partitions: int) -> int:
-    """Depth of ``treeAggregate`` for gradient sums: with depth 2 about
-    sqrt(partitions) partial gradients reach the driver per iteration (~300
-    at 100k partitions), with depth 3 about the cube root (~50)."""
-    return 2 if partitions <= DEEP_AGGREGATION_PARTITIONS else 3
-
-
-def scale_estimator(estimator, train: DataFrame):
-    """Set the aggregation depth of a linear model from ``train``'s partition
-    count, unless the caller chose one.  Other estimators are returned as is."""
-    if estimator.hasParam("aggregationDepth") and not estimator.isSet("aggregationDepth"):
-        estimator.setAggregationDepth(aggregation_depth_for(train.rdd.getNumPartitions()))
-    return estimator
-
-
 def check_impurity(impurity: str) -> str:
     if impurity not in CLASSIFIER_IMPURITIES:
         raise ValueError(f"impurity {impurity!r} is not valid for a classifier; "
@@ -88,7 +68,8 @@ def check_subset_strategy(strategy: str) -> str:
 
 def random_forest(num_trees: int, max_depth: int = 5, feature_subset_strategy: str = "auto",
                   impurity: str = "gini", max_bins: int = 32, seed: int = DEFAULT_SEED,
-                  checkpoint_interval: int = 10) -> RandomForestClassifier:
+                  checkpoint_interval: int = 10, bootstrap: bool = True
+                  ) -> RandomForestClassifier:
     """M2: random-forest classifier; ``num_trees`` has no default, as in the reference.
 
     Node ids are cached per row (``cacheNodeIds``) and checkpointed every
@@ -102,18 +83,17 @@ def random_forest(num_trees: int, max_depth: int = 5, feature_subset_strategy: s
                                   numTrees=num_trees, maxDepth=max_depth,
                                   featureSubsetStrategy=strategy,
                                   impurity=check_impurity(impurity), maxBins=max_bins,
-                                  seed=seed, cacheNodeIds=True,
+                                  seed=seed, cacheNodeIds=True, bootstrap=bootstrap,
                                   checkpointInterval=checkpoint_interval)
 
 
 def linear_regression(max_iter: int = 10, reg_param: float = 0.3, elastic_net: float = 0.8,
                       solver: str = "auto", label_col: str = LABEL,
-                      aggregation_depth: int | None = None) -> LinearRegression:
+                      aggregation_depth: int = AGGREGATION_DEPTH) -> LinearRegression:
     """M3: elastic-net linear regression on the raw feature vector."""
     lr = LinearRegression(featuresCol=FEATURES, labelCol=label_col, maxIter=max_iter,
                           regParam=reg_param, elasticNetParam=elastic_net, solver=solver)
-    if aggregation_depth is not None:
-        lr.setAggregationDepth(aggregation_depth)
+    lr.setAggregationDepth(aggregation_depth)
     return lr
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackml.functions.columns import key_bucket
+from trackml.functions.columns import INTEGRAL, key_bucket
 from trackml.sources.files import KEY, LABEL, SUBSET, YEAR
 
 FEATURES = "features"
@@ -39,11 +39,6 @@ def join_year(labels: DataFrame, features: DataFrame) -> DataFrame:
     return labels.join(features, KEY)
 
 
-def drop_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns; names that are absent are ignored."""
-    return df.drop(*names)
-
-
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = NON_FEATURES) -> list[str]:
     """P5: every column except the known non-features, in frame order."""
     return [c for c in df.columns if c not in exclude]
@@ -102,8 +97,7 @@ def pack_features(features: DataFrame, inputs: list[str] | None = None,
     for c in inputs:
         dtype = features.schema[c].dataType
         if isinstance(dtype, T.ArrayType):
-            first = features.select(F.size(c).alias("n")).where("n >= 0").first()
-            n = first["n"] if first else 0
+            n = _array_width(features, c)
             parts.append(F.transform(F.col(c), lambda x: x.cast("double")))
             names.extend(f"{c}_{i}" for i in range(n))
         else:
@@ -113,6 +107,16 @@ def pack_features(features: DataFrame, inputs: list[str] | None = None,
     return features.select(F.col(key), packed.alias(PACKED)), names
 
 
+def _array_width(features: DataFrame, name: str) -> int:
+    """The length all non-NULL arrays of a column share."""
+    low, high = features.where(F.col(name).isNotNull()).agg(
+        F.min(F.size(name)), F.max(F.size(name))).first()
+    if low != high:
+        raise ValueError(f"arrays in {name!r} have {low} to {high} values; "
+                         "feature arrays need one length")
+    return low or 0
+
+
 def _attribute_metadata(names: list[str]) -> dict:
     """ML attribute metadata of a numeric vector (what ``VectorAssembler`` writes)."""
     return {"ml_attr": {"attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]},
@@ -137,6 +141,8 @@ def vectorize(df: DataFrame, names: list[str], output: str = FEATURES,
             F.lit("; use handle_invalid='skip' or 'keep'")))).otherwise(values)
     else:
         values = F.transform(values, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    values = F.when(F.size(packed) != len(names), F.raise_error(F.lit(
+        f"a row does not have the {len(names)} named feature values"))).otherwise(values)
     vector = array_to_vector(values).alias(output, metadata=_attribute_metadata(names))
     return df.select(*[c for c in df.columns if c != packed], vector)
 
@@ -173,6 +179,8 @@ def key_split(df: DataFrame, train_fraction: float, buckets: int = 100,
 
     No sort, no shuffle, same result on every run and engine; all rows kept.
     """
+    if method == "hash" or not isinstance(df.schema[key].dataType, INTEGRAL):
+        buckets = 1 << 31  # any fraction, not whole percents
     cut = int(round(train_fraction * buckets))
     if not 0 < cut < buckets:
         raise ValueError("train_fraction leaves one side empty")

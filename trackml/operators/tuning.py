@@ -8,7 +8,6 @@ fold at the same time (driver threads submitting distributed jobs).
 
 from __future__ import annotations
 
-import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -66,36 +65,20 @@ def accuracy_evaluator() -> MulticlassClassificationEvaluator:
                                              metricName="accuracy")
 
 
-MAX_PARALLEL_FITS = 8
-
-
-def auto_parallelism(train: DataFrame, grid_size: int) -> int:
-    """Concurrent fits per fold.
-
-    One fit runs as many tasks as ``train`` has partitions and waits on the
-    driver between optimiser iterations.  When the partitions cannot fill the
-    cluster's cores, several grid points are trained at once; when the data
-    is far larger than the cluster (many task waves per pass) two fits keep
-    the executors busy across those waits without multiplying the memory held
-    by cached training instances.
-    """
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, train.rdd.getNumPartitions())
-    wanted = max(2, math.ceil(2 * cores / parts))
-    return max(1, min(grid_size, MAX_PARALLEL_FITS, wanted))
+# Grid points trained at the same time per fold.  Each holds its own cached
+# copy of the fold's training rows, so more of them need more executor disk.
+PARALLEL_FITS = 2
 
 
 def cross_validate(pipeline: Pipeline, grid: list[dict], train: DataFrame, num_folds: int,
-                   parallelism: int | None = None, seed: int = DEFAULT_SEED,
+                   parallelism: int = PARALLEL_FITS, seed: int = DEFAULT_SEED,
                    fold_col: str | None = FOLD) -> CrossValidatorModel:
     """K-fold CV scored by accuracy; the best point is refitted on all of ``train``.
 
     With ``fold_col`` (default) the folds are the key-derived ones already in
     ``train``; with ``None`` Spark assigns random folds from ``seed``.
-    ``parallelism`` defaults to :func:`auto_parallelism`.
+    ``parallelism`` grid points are trained at the same time.
     """
-    if parallelism is None:
-        parallelism = auto_parallelism(train, len(grid))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid,
                         evaluator=accuracy_evaluator(), numFolds=num_folds,
                         parallelism=parallelism, seed=seed)

@@ -317,12 +317,6 @@ def forest_cv(spark, sf_dir):
 
 # ---------------------------------------------------------------- experiments
 
-def readiness(spark, sf_dir):
-    """Is every table an experiment manifest names present? (rows)"""
-    manifest = experiments.fixture_manifest(spark, sf_dir)
-    return experiments.readiness(spark, manifest, [sf_dir])
-
-
 def experiment_sweep(spark, sf_dir):
     """E1-E3 + S8: a sweep over two feature sets x two algorithms (rows)."""
     manifest = experiments.fixture_manifest(spark, sf_dir)
@@ -366,7 +360,6 @@ QUERIES = {
     "best_params": best_params,
     "logreg_cv_test_error": logreg_cv_test_error,
     "forest_cv": forest_cv,
-    "readiness": readiness,
     "experiment_sweep": experiment_sweep,
     "sweep_summary": sweep_summary,
 }

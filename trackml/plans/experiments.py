@@ -11,9 +11,12 @@ so it is small however large the data is.
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
+import json
 import time
 import traceback
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark import inheritable_thread_target
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackml.operators import models
+from trackml.operators import models, tuning
 from trackml.plans import jobs
 from trackml.session import release, stage_path
 from trackml.sources import files, fixtures
@@ -51,6 +54,13 @@ GRID_REQUIRED = {
     "forest_cv": ("num_trees", "max_depth", "max_bins", "impurity", "feature_subset_strategy"),
 }
 
+# Parameter lists of grid-search rows; a list takes the place of the scalar.
+GRID_LISTS = {
+    "max_iter": "max_iters", "reg_param": "reg_params", "elastic_net": "elastic_nets",
+    "num_trees": "num_trees_list", "max_depth": "max_depths", "max_bins": "max_bins_list",
+    "impurity": "impurities", "feature_subset_strategy": "feature_subset_strategies",
+}
+
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("run_id", T.IntegerType()),
     T.StructField("algorithm", T.StringType()),
@@ -70,6 +80,14 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("max_bins", T.IntegerType()),
     T.StructField("train_split", T.DoubleType()),
     T.StructField("num_folds", T.IntegerType()),
+    T.StructField("max_iters", T.ArrayType(T.IntegerType())),
+    T.StructField("reg_params", T.ArrayType(T.DoubleType())),
+    T.StructField("elastic_nets", T.ArrayType(T.DoubleType())),
+    T.StructField("num_trees_list", T.ArrayType(T.IntegerType())),
+    T.StructField("max_depths", T.ArrayType(T.IntegerType())),
+    T.StructField("max_bins_list", T.ArrayType(T.IntegerType())),
+    T.StructField("impurities", T.ArrayType(T.StringType())),
+    T.StructField("feature_subset_strategies", T.ArrayType(T.StringType())),
 ])
 
 
@@ -84,7 +102,8 @@ def build_manifest(spark: SparkSession, feature_sets: dict[str, str], label_sets
     default.
     """
     params = dict(params or {})
-    unknown = set(params) - set(PARAM_COLUMNS)
+    columns = (*PARAM_COLUMNS, *GRID_LISTS.values())
+    unknown = set(params) - set(columns)
     if unknown:
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
     bad = set(algorithms) - set(ALGORITHMS)
@@ -95,7 +114,7 @@ def build_manifest(spark: SparkSession, feature_sets: dict[str, str], label_sets
                                algorithms)
     for run_id, ((fs, fp), (ls, lp), (ss, sp), algo) in enumerate(combos):
         rows.append((run_id, algo, fs, ls, ss, fp, lp, sp,
-                     *[params.get(c) for c in PARAM_COLUMNS]))
+                     *[params.get(c) for c in columns]))
     return spark.createDataFrame(rows, MANIFEST_SCHEMA)
 
 
@@ -118,10 +137,13 @@ def apply_defaults(manifest: DataFrame) -> DataFrame:
     """
     forest = F.col("algorithm").isin("forest", "forest_cv")
     genre = F.col("algorithm") != "year"
-    status = F.when(forest & F.col("num_trees").isNull(), F.lit("rejected: num_trees missing"))
+    no_trees = F.col("num_trees").isNull() & (
+        (F.col("algorithm") == "forest") | F.col("num_trees_list").isNull())
+    status = F.when(forest & no_trees, F.lit("rejected: num_trees missing"))
     for algo, names in GRID_REQUIRED.items():
         for name in names:
-            status = status.when((F.col("algorithm") == algo) & F.col(name).isNull(),
+            status = status.when((F.col("algorithm") == algo) & F.col(name).isNull()
+                                 & (F.coalesce(F.size(GRID_LISTS[name]), F.lit(0)) < 1),
                                  F.lit(f"rejected: grid list {name} missing"))
     status = (status.when(genre & F.col("splits_path").isNull(), F.lit("rejected: splits missing"))
               .otherwise(F.lit("ready")))
@@ -140,8 +162,9 @@ def _manifest_paths(manifest: DataFrame) -> DataFrame:
 
 
 def _strip_scheme(col: F.Column) -> F.Column:
-    no_file = F.regexp_replace(col, r"^file:(//)?", "")
-    return F.regexp_replace(no_file, r"/+$", "")
+    """The path without scheme and authority: listings add the name node, manifests often do not."""
+    bare = F.regexp_replace(col, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.regexp_replace(bare, r"/+$", "")
 
 
 def readiness(spark: SparkSession, manifest: DataFrame, roots: list[str]) -> DataFrame:
@@ -152,7 +175,9 @@ def readiness(spark: SparkSession, manifest: DataFrame, roots: list[str]) -> Dat
     ``binaryFile`` scan that reads only file paths, never file contents; every
     listed file contributes itself and its parent folders, so a manifest path
     may name a file or a folder (e.g. a Parquet dataset).  The match is an
-    equi-join on the normalised path.  A year experiment has no splits path
+    equi-join on the path without scheme and authority.  Spark's file index
+    holds the listed names on the driver, so roots should be the tracks' own
+    folders.  A year experiment has no splits path
     and gets no splits row.
     """
     listings = []
@@ -202,6 +227,7 @@ def fixture_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("run_id", T.IntegerType()),
+    T.StructField("run_key", T.StringType()),
     T.StructField("app_name", T.StringType()),
     T.StructField("algorithm", T.StringType()),
     T.StructField("feature_set", T.StringType()),
@@ -215,6 +241,12 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("test_error", T.DoubleType()),
     T.StructField("rmse", T.DoubleType()),
     T.StructField("r2", T.DoubleType()),
+    T.StructField("train_rmse", T.DoubleType()),
+    T.StructField("train_r2", T.DoubleType()),
+    T.StructField("iterations", T.IntegerType()),
+    T.StructField("grid", T.ArrayType(T.StructType([
+        T.StructField("grid_id", T.IntegerType()), T.StructField("params", T.StringType()),
+        T.StructField("avg_metric", T.DoubleType()), T.StructField("best", T.BooleanType())]))),
     T.StructField("duration_s", T.DoubleType()),
     T.StructField("executor_settings", T.StringType()),
     T.StructField("error", T.StringType()),
@@ -236,6 +268,17 @@ def _app_name(r) -> str:
     return f"{r['algorithm']} {r['label_set']} {r['feature_set']} {r['split_set'] or '-'}"
 
 
+def _grid(r, name: str) -> list:
+    """The values of one grid parameter: the row's list, else its single value."""
+    return list(r[GRID_LISTS[name]] or [r[name]])
+
+
+def run_key(r) -> str:
+    """What a run computes, apart from its number: a hash of the resolved row."""
+    values = {k: v for k, v in r.asDict(recursive=True).items() if k not in ("run_id", "status")}
+    return hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()
+
+
 def _params_text(r) -> str:
     keys = {"logreg": ("max_iter", "reg_param", "elastic_net"),
             "logreg_cv": ("max_iter", "reg_param", "elastic_net", "num_folds"),
@@ -243,7 +286,9 @@ def _params_text(r) -> str:
             "forest_cv": ("num_trees", "max_depth", "max_bins", "feature_subset_strategy",
                           "impurity", "num_folds"),
             "year": ("max_iter", "reg_param", "elastic_net", "train_split")}[r["algorithm"]]
-    return ",".join(f"{k}={r[k]}" for k in keys)
+    return ",".join(f"{k}={r[GRID_LISTS[k]] if r[GRID_LISTS[k]] else r[k]}"
+                    if k in GRID_LISTS and r["algorithm"] in GRID_REQUIRED else f"{k}={r[k]}"
+                    for k in keys)
 
 
 def _read_once(parsed: dict, reader, spark, path):
@@ -301,9 +346,13 @@ def _run_one(r, prepared):
     if algo == "year":
         run = jobs.run_year(prepared["labels"], prepared["features"], r["max_iter"],
                             r["reg_param"], r["elastic_net"], r["train_split"])
-        m = run.test_metrics().first()
-        run.release()
-        return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"]}
+        try:
+            m, t = run.test_metrics().first(), run.training_metrics().first()
+        finally:
+            run.release()
+        return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"],
+                "train_rmse": t["rmse"], "train_r2": t["r2"],
+                "iterations": t["total_iterations"]}
     if algo == "logreg":
         est = models.logistic_regression(r["max_iter"], r["reg_param"], r["elastic_net"])
         run = jobs.run_genre(None, est, prepared=prepared)
@@ -312,16 +361,24 @@ def _run_one(r, prepared):
                                    r["impurity"], max_bins=r["max_bins"])
         run = jobs.run_genre(None, est, prepared=prepared)
     elif algo == "logreg_cv":
-        run = jobs.run_genre_logreg_cv(None, [r["max_iter"]], [r["reg_param"]],
-                                       [r["elastic_net"]], num_folds=r["num_folds"],
+        run = jobs.run_genre_logreg_cv(None, _grid(r, "max_iter"), _grid(r, "reg_param"),
+                                       _grid(r, "elastic_net"), num_folds=r["num_folds"],
                                        prepared=prepared)
     else:
-        run = jobs.run_genre_forest_cv(None, [r["num_trees"]], [r["max_depth"]], [r["max_bins"]],
-                                       [r["impurity"]], [r["feature_subset_strategy"]],
+        run = jobs.run_genre_forest_cv(None, _grid(r, "num_trees"), _grid(r, "max_depth"),
+                                       _grid(r, "max_bins"), _grid(r, "impurity"),
+                                       _grid(r, "feature_subset_strategy"),
                                        num_folds=r["num_folds"], prepared=prepared)
     a = run.accuracy().first()
-    return {"n_train": a["n_train"], "n_test": a["n_test"], "accuracy": a["accuracy"],
-            "test_error": a["test_error"]}
+    out = {"n_train": a["n_train"], "n_test": a["n_test"], "accuracy": a["accuracy"],
+           "test_error": a["test_error"]}
+    if algo in GRID_REQUIRED:
+        best = tuning.best_params(run.cv_results).first().grid_id
+        fixed = ("grid_id", "avg_metric", "std_metric")
+        out["grid"] = [(p["grid_id"], json.dumps({k: v for k, v in p.items() if k not in fixed}),
+                        p["avg_metric"], p["grid_id"] == best)
+                       for p in (g.asDict() for g in run.cv_results.orderBy("grid_id").collect())]
+    return out
 
 
 def _error_text(exc: Exception) -> str:
@@ -340,15 +397,24 @@ def _execute(r, prepared, base: dict) -> dict:
     return base
 
 
-def _done_runs(spark: SparkSession, results_path: str | None) -> set:
+def _recorded(spark: SparkSession, results_path: str | None, keys: list[str]) -> dict:
+    """Finished rows of the results table by run key, for the runs asked for."""
     if not results_path:
-        return set()
+        return {}
     try:
         previous = spark.read.schema(RESULT_SCHEMA).parquet(results_path)
     except AnalysisException:  # no results table yet
-        return set()
-    return {r.run_id for r in previous.where(F.col("status") == "done")
-            .select("run_id").distinct().collect()}
+        return {}
+    done = previous.where((F.col("status") == "done") & F.col("run_key").isin(keys))
+    return {r.run_key: r.asDict(recursive=True) for r in done.collect()}
+
+
+def _check_ids(rows: list) -> None:
+    """Every run needs an id of its own."""
+    ids = Counter(r["run_id"] for r in rows)
+    bad = sorted(str(i) for i, n in ids.items() if i is None or n > 1)
+    if bad:
+        raise ValueError(f"run_id must be given and unique; bad: {', '.join(bad)}")
 
 
 def _to_frame(spark: SparkSession, out: list[dict]) -> DataFrame:
@@ -368,16 +434,20 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     alone leaves most of a large cluster idle).
     A failing run records its error and the sweep goes on.  With
     ``results_path`` each row is appended to a Parquet results table as soon
-    as its run ends, and runs already recorded there as done are skipped, so
-    a sweep interrupted by a driver failure resumes where it stopped.
+    as its run ends.  A run recorded there as done under the same ``run_key``
+    (all resolved settings, not the number) is not run again, so a sweep
+    interrupted by a driver failure resumes where it stopped.  The result has a
+    row for every manifest row, also after a resume.  Missing or repeated
+    ``run_id`` values are refused before anything runs.
     """
     rows = apply_defaults(manifest).orderBy(
         F.col("features_path").asc_nulls_first(), F.col("labels_path").asc_nulls_first(),
         F.col("splits_path").asc_nulls_first(), F.col("feature_set").asc_nulls_first(),
         F.col("label_set").asc_nulls_first(), F.col("split_set").asc_nulls_first(),
         "run_id").collect()
+    _check_ids(rows)
     settings = executor_settings(spark)
-    finished = _done_runs(spark, results_path)
+    finished = _recorded(spark, results_path, [run_key(r) for r in rows])
     slot = stage_path(spark, "sweep")
     parsed: dict = {}
     out = []
@@ -387,12 +457,15 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
         if results_path:
             _to_frame(spark, [base]).write.mode("append").parquet(results_path)
 
-    todo = [r for r in rows if r["run_id"] not in finished]
+    todo = [r for r in rows if run_key(r) not in finished]
+    out.extend(dict(finished[run_key(r)], run_id=r["run_id"]) for r in rows
+               if run_key(r) in finished)
     last_staged = None
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         for _, group in itertools.groupby(todo, key=lambda r: _input_key(sf_dir, r)):
             group = list(group)
-            bases = {r["run_id"]: {"run_id": r["run_id"], "app_name": _app_name(r),
+            bases = {r["run_id"]: {"run_id": r["run_id"], "run_key": run_key(r),
+                                   "app_name": _app_name(r),
                                    "algorithm": r["algorithm"], "feature_set": r["feature_set"],
                                    "label_set": r["label_set"], "split_set": r["split_set"],
                                    "params": _params_text(r), "status": r["status"],
@@ -413,7 +486,8 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
                                    bases[r["run_id"]]) for r in ready]
             for fut in as_completed(futures):
                 record(fut.result())
-            last_staged = prepared[0] if isinstance(prepared, tuple) else None
+            if isinstance(prepared, tuple):
+                last_staged = prepared[0]
     # the sweep's own staged tables: the last joined input and the parsed files
     for staged in ([last_staged] if last_staged is not None else []) + list(parsed.values()):
         release(staged)

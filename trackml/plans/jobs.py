@@ -68,11 +68,14 @@ def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
     rows only (the same rows the reference's assembler sees).
     """
     packed, names = prepare.pack_features(inputs["features"])
+    # a table and no aggregate on this side: AQE can then split a hot track
+    packed = stage(packed, f"{name}_features")
     joined = prepare.join_tracks(inputs["splits"], inputs["labels"], packed)
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     if num_folds:
         assembled = prepare.assign_folds(assembled, num_folds, method=fold_method)
     staged = stage(assembled, name, partition_by=[SUBSET], path=path)
+    release(packed)
     slot_names = indexing.slot_names(staged) or names
     return staged, slot_names
 
@@ -169,7 +172,6 @@ def run_genre(inputs: dict[str, DataFrame] | None, estimator, handle_invalid: st
     """
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
         inputs, handle_invalid, None, index_on, name, prepared)
-    estimator = models.scale_estimator(estimator, train)
     pipeline = models.classification_pipeline(label_model, feature_model, estimator)
     model: PipelineModel = pipeline.fit(train)
     predictions = model.transform(test)
@@ -191,7 +193,7 @@ def run_genre_forest(inputs: dict[str, DataFrame], num_trees: int, max_depth: in
 
 def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
                  param_names: tuple[str, ...], num_folds: int = tuning.DEFAULT_FOLDS,
-                 parallelism: int | None = None, handle_invalid: str = "error",
+                 parallelism: int = tuning.PARALLEL_FITS, handle_invalid: str = "error",
                  index_on: str = "all",
                  seed: int = models.DEFAULT_SEED, name: str = "genre_cv",
                  prepared: tuple[DataFrame, list[str]] | None = None,
@@ -208,7 +210,6 @@ def run_genre_cv(inputs: dict[str, DataFrame], estimator, grid: list[dict],
     """
     prepared, names, train, test, sizes, label_model, feature_model = _setup(
         inputs, handle_invalid, num_folds, index_on, name, prepared, fold_method)
-    estimator = models.scale_estimator(estimator, train)
     indexed = models.index_stages(label_model, feature_model).transform(train)
     tuned = Pipeline(stages=[estimator, indexing.label_decoder(label_model)])
     cv_model = tuning.cross_validate(tuned, grid, indexed, num_folds, parallelism, seed)
@@ -267,14 +268,18 @@ def prepare_year(labels: DataFrame, features: DataFrame, feature_cols: list[str]
                  handle_invalid: str = "error", split: str = "random",
                  train_fraction: float = 0.7, name: str = "year") -> tuple[DataFrame, list[str]]:
     packed, names = prepare.pack_features(features, feature_cols)
+    packed = stage(packed, f"{name}_features")
     joined = prepare.join_year(labels, packed)
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
     assembled = prepare.select_rename(assembled, [KEY, YEAR, prepare.FEATURES], {YEAR: LABEL})
     if split in ("key", "hash"):
         method = "hash" if split == "hash" else "auto"
-        return stage(prepare.key_split(assembled, train_fraction, method=method), name,
-                     partition_by=[SUBSET]), names
-    return stage(assembled, name), names
+        out = stage(prepare.key_split(assembled, train_fraction, method=method), name,
+                    partition_by=[SUBSET])
+    else:
+        out = stage(assembled, name)
+    release(packed)
+    return out, names
 
 
 def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_param: float = 0.3,
@@ -299,5 +304,5 @@ def run_year(labels: DataFrame, features: DataFrame, max_iter: int = 10, reg_par
     else:
         train, test = prepare.split_by_subset(prepared)
     estimator = models.linear_regression(max_iter, reg_param, elastic_net, solver=solver)
-    model = models.scale_estimator(estimator, train).fit(train)
+    model = estimator.fit(train)
     return YearRun(prepared, train, test, names, model, model.transform(test))

@@ -16,9 +16,8 @@ a re-read of the staged files, not a re-run of scans and joins.
 from __future__ import annotations
 
 import math
-import re
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,24 +93,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and RDD checkpoints.
 
     Taken from the session (``spark.checkpoint.dir`` or a directory already
-    set on the context).  Only a local-mode session without one gets a fresh
-    private temporary folder; on a cluster the setting is required, because a
-    machine-local folder is not visible to other executors.
+    set on the context).  A local-mode session without one uses a folder below
+    its warehouse; on a cluster the setting is required, because staged tables
+    must be on storage that all executors share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    if not _is_local(spark):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder "
-            "(HDFS/S3/ABFS) so staged tables survive executor loss")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="trackml-ckpt-"))
-    return sc.getCheckpointDir()
+    if not configured:
+        if not _is_local(spark):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; point it at a shared folder "
+                "(HDFS/S3/ABFS) so staged tables survive executor loss")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -137,25 +135,39 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None,
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with split_skewed_joins(spark):
+        writer.parquet(path)
     staged = spark.read.parquet(path)
     # partitioned columns come back last; keep the caller's column order
-    return staged.select(*df.columns)
-
-
-_STAGED_ROOT = re.compile(r"^(.*/trackml/[^/]+-[0-9a-f]{32})/")
+    out = staged.select(*df.columns)
+    out._stage_path = path  # known to release() without listing files
+    return out
+
+
+@contextmanager
+def split_skewed_joins(spark: SparkSession):
+    """Let AQE split a hot key's partition in chained joins, whatever the session says."""
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def release(staged: DataFrame) -> list[str]:
-    """Free the storage of a table written by :func:`stage`.
+    """Free the storage of a table returned by :func:`stage`.
 
     The folder is overwritten with an empty table of the same schema (plain
-    ``DataFrame.write``; no file-system handles).  Frames read from it are
-    empty afterwards.  Returns the released folders.
+    ``DataFrame.write``; no file-system handles, no file listing).  Frames read
+    from it are empty afterwards.  Returns the released folders.
     """
-    roots = sorted({m.group(1) for f in staged.inputFiles()
-                    if (m := _STAGED_ROOT.match(f))})
-    spark = staged.sparkSession
-    for root in roots:
-        spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(root)
-    return roots
+    path = getattr(staged, "_stage_path", None)
+    if path is None:
+        return []
+    staged.sparkSession.createDataFrame([], staged.schema).write.mode("overwrite").parquet(path)
+    return [path]

@@ -49,6 +49,10 @@ def _delimited(spark: SparkSession, path: str, schema: T.StructType, *,
               .option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT)
               .option("nanValue", "NaN"))
+    if header:
+        # a part file whose header has other columns or another order fails
+        # instead of being read into the wrong columns
+        reader = reader.option("enforceSchema", False)
     if comment:
         reader = reader.option("comment", comment)
     return reader.csv(path)
@@ -100,7 +104,9 @@ def read_year_labels_csv(spark: SparkSession, path: str, key: str = SOURCE_KEY,
     fields = [T.StructField(n, types.get(n, T.StringType())) for n in names]
     raw = _delimited(spark, path, T.StructType(fields), header=True, sep=",")
     cleaned = drop_malformed(raw.withColumnRenamed(key, KEY), "year_labels")
-    return cleaned.drop(*[c for c in YEAR_DROPPED if c in cleaned.columns])
+    years = cleaned.drop(*[c for c in YEAR_DROPPED if c in cleaned.columns])
+    years._stage_path = cleaned._stage_path
+    return years
 
 
 def read_track_inputs(spark: SparkSession, features_path: str, labels_path: str,
