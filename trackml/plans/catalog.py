@@ -315,6 +315,60 @@ def forest_cv(spark, sf_dir):
     return run.cv_results
 
 
+# ---------------------------------------------------------------- live models
+#
+# One feature with two categories makes the model saturated: what it must
+# predict is each category's majority among its training rows, which SQL can
+# say, and a wrong gradient, penalty or refit shows.
+
+def _banded(spark, sf_dir):
+    """Label = quantity band, the only feature = number of line statuses."""
+    features = fixtures.order_features(spark, sf_dir)
+    band = F.when(F.col("qty") < 60, "light").when(F.col("qty") < 120, "medium").otherwise("heavy")
+    return {"features": features.select(KEY, "n_ls"),
+            "labels": features.select(KEY, band.alias(LABEL)),
+            "splits": fixtures.order_splits(spark, sf_dir)}
+
+
+def _predicted(run):
+    return run.predictions.select(KEY, LABEL,
+                                  F.col(indexing.PREDICTED_LABEL).alias("predicted_label"))
+
+
+def logreg_saturated(spark, sf_dir):
+    """M1 + M7: converged logistic regression without penalty on one feature."""
+    return _predicted(jobs.run_genre_logreg(_banded(spark, sf_dir), max_iter=200, reg_param=0.0,
+                                            elastic_net=0.0))
+
+
+def forest_stump(spark, sf_dir):
+    """M2 + M7: one tree of depth 1 on all rows and all features."""
+    stump = models.random_forest(1, max_depth=1, feature_subset_strategy="all", bootstrap=False)
+    return _predicted(jobs.run_genre(_banded(spark, sf_dir), stump))
+
+
+def _saturated_cv(spark, sf_dir):
+    return jobs.run_genre_logreg_cv(_banded(spark, sf_dir), max_iter=[100], reg_param=[0.5, 0.0],
+                                    elastic_net=[0.0, 1.0], num_folds=CV_FOLDS)
+
+
+def logreg_cv_saturated(spark, sf_dir):
+    """G1 + G3 + G4 + A7 with grid points that differ: a strong penalty predicts
+    the majority, none predicts each category's majority."""
+    return _saturated_cv(spark, sf_dir).cv_results.select(
+        "grid_id", *tuning.LOGREG_GRID_PARAMS, rounded("avg_metric", 8))
+
+
+def best_params_saturated(spark, sf_dir):
+    """A8 / G5 where the best point is not the first."""
+    return tuning.best_params(logreg_cv_saturated(spark, sf_dir))
+
+
+def cv_test_error_saturated(spark, sf_dir):
+    """The best point refitted on TRAIN and scored on TEST."""
+    return _saturated_cv(spark, sf_dir).accuracy()
+
+
 # ---------------------------------------------------------------- experiments
 
 def experiment_sweep(spark, sf_dir):
@@ -360,6 +414,11 @@ QUERIES = {
     "best_params": best_params,
     "logreg_cv_test_error": logreg_cv_test_error,
     "forest_cv": forest_cv,
+    "logreg_saturated": logreg_saturated,
+    "forest_stump": forest_stump,
+    "logreg_cv_saturated": logreg_cv_saturated,
+    "best_params_saturated": best_params_saturated,
+    "cv_test_error_saturated": cv_test_error_saturated,
     "experiment_sweep": experiment_sweep,
     "sweep_summary": sweep_summary,
 }

@@ -113,6 +113,52 @@ results AS (
 """
 
 
+# Quantity bands with the number of line statuses as the only feature; each
+# category's majority among the other folds (fold -1: among all of TRAIN).
+BANDED = """
+b AS (SELECT s.track_id, s.subset, f.n_ls, CAST(s.track_id % 3 AS INTEGER) AS fold,
+             CASE WHEN f.qty < 60 THEN 'light' WHEN f.qty < 120 THEN 'medium'
+                  ELSE 'heavy' END AS label
+      FROM t_splits s JOIN t_features f ON f.track_id = s.track_id),
+bidx AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS idx
+         FROM b GROUP BY label),
+bfolds AS (SELECT unnest([-1, 0, 1, 2]) AS held),
+bseen AS (SELECT k.held, t.n_ls, t.label FROM bfolds k JOIN b t
+          ON t.subset = 'TRAIN' AND t.fold <> k.held),
+bcat AS (SELECT held, n_ls, label AS predicted_label FROM (
+           SELECT s.held, s.n_ls, s.label, row_number() OVER (
+             PARTITION BY s.held, s.n_ls ORDER BY count(*) DESC, any_value(i.idx)) AS rn
+           FROM bseen s JOIN bidx i ON i.label = s.label GROUP BY s.held, s.n_ls, s.label) r
+         WHERE rn = 1),
+ball AS (SELECT held, label AS predicted_label FROM (
+           SELECT s.held, s.label, row_number() OVER (
+             PARTITION BY s.held ORDER BY count(*) DESC, any_value(i.idx)) AS rn
+           FROM bseen s JOIN bidx i ON i.label = s.label GROUP BY s.held, s.label) r
+         WHERE rn = 1),
+n_train AS (SELECT count(*) AS n FROM b WHERE subset = 'TRAIN'),
+pred AS (SELECT b.track_id, b.label, c.predicted_label
+         FROM b JOIN bcat c ON c.held = -1 AND c.n_ls = b.n_ls WHERE b.subset = 'TEST'),
+bmetric AS (
+  SELECT 'category' AS kind, avg(acc) AS m FROM (
+    SELECT t.fold, avg(CASE WHEN t.label = c.predicted_label THEN 1.0 ELSE 0.0 END) AS acc
+    FROM b t JOIN bcat c ON c.held = t.fold AND c.n_ls = t.n_ls
+    WHERE t.subset = 'TRAIN' GROUP BY t.fold) x
+  UNION ALL
+  SELECT 'all' AS kind, avg(acc) AS m FROM (
+    SELECT t.fold, avg(CASE WHEN t.label = c.predicted_label THEN 1.0 ELSE 0.0 END) AS acc
+    FROM b t JOIN ball c ON c.held = t.fold
+    WHERE t.subset = 'TRAIN' GROUP BY t.fold) x),
+bresults AS (
+  SELECT CAST(g.grid_id AS INTEGER) AS grid_id, CAST(100 AS DOUBLE) AS maxIter,
+         g.regParam, g.elasticNetParam, round(m.m, 8) AS avg_metric
+  FROM (VALUES (0, CAST(0.5 AS DOUBLE), CAST(0.0 AS DOUBLE), 'all'),
+               (1, CAST(0.5 AS DOUBLE), CAST(1.0 AS DOUBLE), 'all'),
+               (2, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), 'category'),
+               (3, CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE), 'category'))
+       AS g(grid_id, regParam, elasticNetParam, kind) JOIN bmetric m ON m.kind = g.kind)
+"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -190,4 +236,10 @@ FROM ys, fit GROUP BY subset""",
     "best_params": _with(FIXTURE, CV_METRIC) + """
 SELECT * FROM results ORDER BY avg_metric DESC, grid_id LIMIT 1""",
     "logreg_cv_test_error": _with(FIXTURE, MAJORITY) + ACCURACY_SELECT,
+    "logreg_saturated": _with(FIXTURE, BANDED) + "SELECT * FROM pred",
+    "forest_stump": _with(FIXTURE, BANDED) + "SELECT * FROM pred",
+    "logreg_cv_saturated": _with(FIXTURE, BANDED) + "SELECT * FROM bresults",
+    "best_params_saturated": _with(FIXTURE, BANDED) + """
+SELECT * FROM bresults ORDER BY avg_metric DESC, grid_id LIMIT 1""",
+    "cv_test_error_saturated": _with(FIXTURE, BANDED) + ACCURACY_SELECT,
 }
