@@ -2,10 +2,10 @@
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in
 MapReduce and Beyond"): each step links a node's neighbours to the smallest
-node around it, so the edge count never grows and a fixed point, a star around
-each component's smallest node, comes after a few rounds.  The minima are
-written to the scratch folder before they are joined, so a hub's edges can be
-split by AQE.
+node around it, so the edge count never grows, and after a few rounds every
+component is a star around its smallest node.  The minima of the large-star
+step are written to the scratch folder before they are joined, so a hub's
+edges can be split by AQE.
 """
 
 from __future__ import annotations
@@ -23,33 +23,31 @@ def components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
     """
     cur = scratch.put(f"{name}0", edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark, step = _mark(cur), 0
-    while mark[0]:
+    step = 0
+    while not _is_star(cur):
         step += 1
         both = cur.union(cur.select("v", "u"))
-        large = _relink(scratch, f"{name}L{step}", both, F.col("v") > F.col("u"))
-        large = scratch.put(f"{name}l{step}", large.distinct())
+        lowest = scratch.put(f"{name}L{step}", both.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.put(f"{name}l{step}", _relink(both.where("v > u"), lowest).distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _relink(scratch, f"{name}S{step}", large, F.lit(True)).union(lowest)
+        small = _relink(large, lowest).union(lowest)
         nxt = scratch.put(f"{name}{step}", small.distinct())
-        scratch.drop(f"{name}{step - 1}", f"{name}L{step}", f"{name}l{step}", f"{name}S{step}")
-        seen, cur, mark = mark, nxt, _mark(nxt)
-        if seen == mark:
-            break
+        scratch.drop(f"{name}{step - 1}", f"{name}L{step}", f"{name}l{step}")
+        cur = nxt
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         cur.select("v", "v").distinct())
 
 
-def _relink(scratch: Scratch, name: str, pairs: DataFrame, which) -> DataFrame:
-    """Link each chosen neighbour ``v`` of ``u`` to the smallest node at or around ``u``."""
-    lowest = scratch.put(name, pairs.groupBy("u").agg(
-        F.least(F.min("v"), F.col("u")).alias("m")))
-    return pairs.where(which).join(lowest, "u").where("v <> m").select(
+def _relink(pairs: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Link each neighbour ``v`` of ``u`` to the smallest node at or around ``u``."""
+    return pairs.join(lowest, "u").where("v <> m").select(
         F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free checksum, to tell whether a round changed anything."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-                    F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every upper node has one edge and no lower node is an upper one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")) \
+        .union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    return nodes.where("up > 1 or (up = 1 and low = 1)").isEmpty()

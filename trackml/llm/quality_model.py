@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from trackml.llm import labelled
 from trackml.llm import text as T
+from trackml.llm.scratch import bound_batches
 
 SPELLINGS = 1 << 13
 _CASES, _SIGNS = 5, 11
@@ -128,6 +129,7 @@ def _gather(batches):
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all items over all documents, zero where an item never occurs."""
+    bound_batches(docs.sparkSession)
     schema = ", ".join(f"{c} long" for c in ["item", *_COLUMNS])
     rows = docs.select("text").mapInArrow(_gather, schema).groupBy("item").agg(
         *(F.sum(c).alias(c) for c in _COLUMNS)).toArrow()

@@ -14,10 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from trackml.session import stage_path
 
 
+#: rows of a batch sent to Python, unless the session sets its own number; with
+#: Spark's default of 10,000 rows a batch of texts takes tens of megabytes, several times
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts small, for the memory of executors."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Named intermediate tables of one operator run."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.label = label
         self._tables: dict[str, tuple[str, object]] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackml.llm import text as T
-from trackml.llm.scratch import Scratch
+from trackml.llm.scratch import Scratch, bound_batches
 
 BLOCK_TOKENS = 1 << 20
 
@@ -226,6 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5,
 def clean_rows(docs: DataFrame, benchmark: DataFrame, least: int = 5,
                threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, into whose text no item leaks."""
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     for block in blocks(benchmark, least):
         docs = docs.mapInArrow(_keep(context.broadcast(block), threshold), docs.schema)
