@@ -7,12 +7,11 @@ component is a star around its smallest node.  The minima of the large-star
 step are written to the scratch folder before they are joined, so a hub's
 edges can be split by AQE.
 
-Before the first step and after each one, every partition replaces its edges by
-stars around the smallest node of each component it sees, first where the edges
-lie and then with all edges of an upper node together.  That keeps the
-components, never adds an edge and saves most of the rounds.  After the first
-pass a node has at most one edge to a smaller one per partition, so a hub is no
-large group in the second.
+Before the first step every partition replaces its edges by stars around the
+smallest node of each component it sees, first where the edges lie and then
+with all edges of an upper node together.  That keeps the components and never
+adds an edge.  After the first pass a node has at most one edge to a smaller
+one per partition, so a hub is no large group in the second.
 """
 
 from __future__ import annotations
@@ -47,7 +46,7 @@ def components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
         large = scratch.put(f"{name}l{step}", _relink(both.where("v > u"), lowest).distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _relink(large, lowest).union(lowest)
-        nxt = scratch.put(f"{name}{step}", _contracted(small))
+        nxt = scratch.put(f"{name}{step}", small.distinct())
         scratch.drop(f"{name}{step - 1}", f"{name}L{step}", f"{name}l{step}")
         cur = nxt
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
