@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackml.llm import minhash, packing, pii, quality_model, repeats, rules, tiling, toxicity, urls, warc
+from trackml.llm import (alignment, html_text, minhash, packing, pii, quality_model, repeats,
+                         rules, spelling, tiling, toxicity, urls, warc)
 from trackml.llm.scratch import Scratch
 
 
@@ -24,6 +25,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The public sentencepiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back by byte ranges."""
     folder = Scratch(spark, "warc").folder("archives")
@@ -87,6 +95,23 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars", "n_good")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' ids of every document."""
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(),
+                           piece_model_path())
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -98,6 +123,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_rules": op9_rules,
     "op10_urls": op10_urls,
+    "op11_html_text": op11_html_text,
+    "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
@@ -114,4 +142,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM m""",
     "op9_rules": rules.judge_sql(),
     "op10_urls": urls.judge_sql(),
+    # exact for the pages' own markup: what the article element holds, block by block
+    "op11_html_text": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(
+    regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1), '<[^>]*\z', '') AS h
+  FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(
+    regexp_split_to_array(regexp_replace(h, '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(
+      regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp(;|\z)', '&', 'g'),
+      '\s+', ' ', 'g'))), lambda x: x <> '') AS parts
+  FROM a),
+c AS (
+  SELECT page_id, url, coalesce(array_to_string(parts, chr(10) || chr(10)), '') AS text,
+         coalesce(len(parts), 0) AS n_good FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, n_good FROM c""",
 }
