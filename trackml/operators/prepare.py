@@ -6,7 +6,8 @@ The joins are plain inner equi-joins on ``track_id``.  All of them use the same
 key, so with sort-merge every input is shuffled once and the two joins run in
 one stage; a side whose measured size is small is broadcast instead by AQE.
 Duplicate keys multiply rows and NULL keys never match (inner-join semantics of
-the reference).  Skewed keys are split by AQE's skew-join handling.
+the reference).  Keys that hold a large share of a side's rows are measured and
+dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackml.functions.columns import INTEGRAL, key_bucket
+from trackml.operators.skew import join_on_key
 from trackml.sources.files import KEY, LABEL, SUBSET, YEAR
 
 FEATURES = "features"
@@ -29,14 +31,19 @@ TEST = "TEST"
 NON_FEATURES = (KEY, LABEL, SUBSET, YEAR, FOLD)
 
 
-def join_tracks(splits: DataFrame, labels: DataFrame, features: DataFrame) -> DataFrame:
-    """``splits ⋈ labels ⋈ features``; key once, then splits, labels, features columns."""
-    return splits.join(labels, KEY).join(features, KEY)
+def join_tracks(splits: DataFrame, labels: DataFrame, features: DataFrame, **skew) -> DataFrame:
+    """``splits ⋈ labels ⋈ features``; key once, then splits, labels, features columns.
+
+    Tracks that repeat in the splits or labels are measured first, and a hot
+    one is dealt over many tasks (:mod:`trackml.operators.skew`; ``skew`` are
+    its thresholds).  Feature rows are one per track.
+    """
+    return join_on_key([splits, labels, features], KEY, measured=[0, 1], **skew)
 
 
-def join_year(labels: DataFrame, features: DataFrame) -> DataFrame:
-    """``labels ⋈ features`` for the year job."""
-    return labels.join(features, KEY)
+def join_year(labels: DataFrame, features: DataFrame, **skew) -> DataFrame:
+    """``labels ⋈ features`` for the year job; hot tracks of the labels are dealt as in J1."""
+    return join_on_key([labels, features], KEY, measured=[0], **skew)
 
 
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = NON_FEATURES) -> list[str]:

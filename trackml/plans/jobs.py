@@ -68,7 +68,7 @@ def prepare_genre(inputs: dict[str, DataFrame], handle_invalid: str = "error",
     rows only (the same rows the reference's assembler sees).
     """
     packed, names = prepare.pack_features(inputs["features"])
-    # a table and no aggregate on this side: AQE can then split a hot track
+    # a table on this side: a hot track's features are repeated from files
     packed = stage(packed, f"{name}_features")
     joined = prepare.join_tracks(inputs["splits"], inputs["labels"], packed)
     assembled = prepare.vectorize(joined, names, handle_invalid=handle_invalid)
