@@ -33,7 +33,8 @@ AGGREGATION_DEPTH = 2
 
 def logistic_regression(max_iter: int = 10, reg_param: float = 0.3,
                         elastic_net: float = 0.8,
-                        aggregation_depth: int = AGGREGATION_DEPTH) -> LogisticRegression:
+                        aggregation_depth: int = AGGREGATION_DEPTH,
+                        tol: float | None = None) -> LogisticRegression:
     """M1: logistic regression on the indexed columns.
 
     Family is Spark's default ``auto`` (as in the reference): multinomial for
@@ -44,7 +45,7 @@ def logistic_regression(max_iter: int = 10, reg_param: float = 0.3,
     lr = LogisticRegression(featuresCol=INDEXED_FEATURES, labelCol=INDEXED_LABEL,
                             maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
     lr.setAggregationDepth(aggregation_depth)
-    return lr
+    return lr if tol is None else lr.setTol(tol)
 
 
 def check_impurity(impurity: str) -> str:
@@ -89,12 +90,13 @@ def random_forest(num_trees: int, max_depth: int = 5, feature_subset_strategy: s
 
 def linear_regression(max_iter: int = 10, reg_param: float = 0.3, elastic_net: float = 0.8,
                       solver: str = "auto", label_col: str = LABEL,
-                      aggregation_depth: int = AGGREGATION_DEPTH) -> LinearRegression:
+                      aggregation_depth: int = AGGREGATION_DEPTH,
+                      tol: float | None = None) -> LinearRegression:
     """M3: elastic-net linear regression on the raw feature vector."""
     lr = LinearRegression(featuresCol=FEATURES, labelCol=label_col, maxIter=max_iter,
                           regParam=reg_param, elasticNetParam=elastic_net, solver=solver)
     lr.setAggregationDepth(aggregation_depth)
-    return lr
+    return lr if tol is None else lr.setTol(tol)
 
 
 def classification_pipeline(label_model: StringIndexerModel, feature_model: VectorIndexerModel,

