@@ -12,6 +12,7 @@ lowest label index).  The tests check the zero coefficients directly.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.ml.feature import IndexToString
@@ -352,6 +353,36 @@ def forest_stump(spark, sf_dir):
     return _predicted(jobs.run_genre(_banded(spark, sf_dir), stump))
 
 
+# Depth-2 trees on all features: prices in bands and enough bins, so that every
+# midpoint is a candidate split and no row is sampled for them.
+PRICE_BAND_CENTS = 2_000_000
+TREE_BINS = 512
+
+
+def _price_banded(spark, sf_dir, target):
+    """The orders with prices in bands; for the quantity band as label, without quantity."""
+    own = _orders(spark, sf_dir)
+    features = own["features"].withColumn(
+        "cents", F.floor(F.col("cents") / PRICE_BAND_CENTS).cast("double"))
+    if target == "priority":
+        return dict(own, features=features)
+    return dict(_banded(spark, sf_dir), features=features.drop("qty"))
+
+
+def tree_depth2(spark, sf_dir):
+    """M2 + M7 + F3: one tree of depth 2 for two targets and both impurities, with
+    continuous features and categorical ones of two and three values."""
+    parts = []
+    for target in ("priority", "band"):
+        prepared = jobs.prepare_genre(_price_banded(spark, sf_dir, target), name="tree")
+        for impurity in models.CLASSIFIER_IMPURITIES:
+            tree = models.random_forest(1, max_depth=2, feature_subset_strategy="all",
+                                        impurity=impurity, max_bins=TREE_BINS, bootstrap=False)
+            parts.append(_predicted(jobs.run_genre(None, tree, prepared=prepared)).select(
+                F.lit(target).alias("target"), F.lit(impurity).alias("impurity"), "*"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _saturated_cv(spark, sf_dir):
     return jobs.run_genre_logreg_cv(_banded(spark, sf_dir), max_iter=[100], reg_param=[0.5, 0.0],
                                     elastic_net=[0.0, 1.0], num_folds=CV_FOLDS)
@@ -492,6 +523,7 @@ QUERIES = {
     "forest_cv": forest_cv,
     "logreg_saturated": logreg_saturated,
     "forest_stump": forest_stump,
+    "tree_depth2": tree_depth2,
     "logreg_cv_saturated": logreg_cv_saturated,
     "best_params_saturated": best_params_saturated,
     "cv_test_error_saturated": cv_test_error_saturated,

@@ -193,6 +193,80 @@ def _names(columns: list[str]) -> str:
     return ", ".join(f"('{c}')" for c in [*columns, "(intercept)"])
 
 
+# One depth-2 tree as a split search over histograms: class counts by node,
+# feature and value give every candidate split's gain.  Features with at most
+# four values are categorical, with all two-way groupings of their values.
+TREE_FEATURES = {"priority": ["n_items", "qty", "cents", "n_rf", "n_ls"],
+                 "band": ["n_items", "cents", "n_rf", "n_ls"]}
+BAND = """CASE WHEN qty < 60 THEN 'light' WHEN qty < 120 THEN 'medium' ELSE 'heavy' END"""
+IMPURITY = {"gini": "1 - sum(({c} / {n}) * ({c} / {n}))",
+            "entropy": "-sum(CASE WHEN {c} > 0 THEN ({c} / {n}) * ln({c} / {n}) / ln(2) ELSE 0 END)"}
+
+
+def _tree(target: str, impurity: str, depth: int = 2) -> str:
+    features = TREE_FEATURES[target]
+    label = "label" if target == "priority" else BAND
+    values = " UNION ALL ".join(
+        f"SELECT track_id, subset, k, node, {i} AS f, {c} AS v FROM {{nodes}}"
+        for i, c in enumerate(features))
+    parts = [f"""
+b0 AS (SELECT track_id, subset, {label} AS label, n_items, qty,
+              floor(cents / 2000000) AS cents, n_rf, n_ls FROM joined),
+kidx AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS k
+         FROM b0 GROUP BY label),
+n0 AS (SELECT b0.*, kidx.k, 1 AS node FROM b0 JOIN kidx ON kidx.label = b0.label),
+v0 AS ({values.format(nodes='n0')}),
+few AS (SELECT f FROM v0 GROUP BY f HAVING count(DISTINCT v) <= 4),
+tv AS (SELECT DISTINCT f, v FROM v0 WHERE subset = 'TRAIN'),
+cat AS (SELECT f, list_sort(list(DISTINCT v)) AS vs FROM v0
+        WHERE f IN (SELECT f FROM few) GROUP BY f),
+split AS (
+  SELECT f, v AS s, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut,
+         CAST(NULL AS DOUBLE[]) AS own
+  FROM tv WHERE f NOT IN (SELECT f FROM few)
+  UNION ALL
+  SELECT f, s, NULL, list_filter(vs, lambda x, i: (CAST(s AS INTEGER) >> CAST(i - 1 AS INTEGER)) & 1 = 1)
+  FROM (SELECT f, vs, unnest(range(1, CAST(2 ** (len(vs) - 1) AS BIGINT))) AS s FROM cat) c)"""]
+
+    def of(c: str, n: str) -> str:
+        return IMPURITY[impurity].format(c=c, n=n)
+
+    for d in range(depth):
+        parts.append(f"""
+h{d} AS (SELECT node, f, v, k, count(*) AS c FROM ({values.format(nodes=f'n{d}')}) x
+         WHERE subset = 'TRAIN' GROUP BY node, f, v, k),
+c{d} AS (SELECT h.node, h.f, s.s, any_value(s.cut) AS cut, any_value(s.own) AS own, h.k,
+                CAST(sum(CASE WHEN h.v <= s.cut OR list_contains(s.own, h.v)
+                              THEN c ELSE 0 END) AS DOUBLE) AS l,
+                CAST(sum(c) AS DOUBLE) AS t
+         FROM h{d} h JOIN split s ON s.f = h.f AND (s.cut IS NOT NULL OR s.own IS NOT NULL)
+         GROUP BY h.node, h.f, s.s, h.k),
+w{d} AS (SELECT *, t - l AS r, sum(l) OVER g AS nl, sum(t) OVER g AS nt,
+                sum(t - l) OVER g AS nr
+         FROM c{d} WINDOW g AS (PARTITION BY node, f, s)),
+g{d} AS (SELECT node, f, s, any_value(cut) AS cut, any_value(own) AS own,
+                ({of('t', 'nt')}) - any_value(nl / nt) * ({of('l', 'nl')})
+                  - any_value(nr / nt) * ({of('r', 'nr')}) AS gain
+         FROM w{d} WHERE nl > 0 AND nr > 0 GROUP BY node, f, s),
+s{d} AS (SELECT * FROM (SELECT *, row_number() OVER (
+           PARTITION BY node ORDER BY gain DESC, f, s) AS rn FROM g{d}) x
+         WHERE rn = 1 AND gain > 0),
+n{d + 1} AS (
+  SELECT n.* REPLACE (CASE WHEN s.f IS NULL THEN n.node
+    WHEN s.cut IS NOT NULL AND [{', '.join(f'n.{c}' for c in features)}][s.f + 1] <= s.cut
+      OR list_contains(s.own, [{', '.join(f'n.{c}' for c in features)}][s.f + 1])
+      THEN 2 * n.node ELSE 2 * n.node + 1 END AS node)
+  FROM n{d} n LEFT JOIN s{d} s ON s.node = n.node)""")
+    parts.append(f"""
+leaf AS (SELECT node, label FROM (
+  SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, k) AS rn
+  FROM n{depth} WHERE subset = 'TRAIN' GROUP BY node, label, k) x WHERE rn = 1)""")
+    return f"""SELECT * FROM ({_with(FIXTURE, *parts)}
+SELECT '{target}' AS target, '{impurity}' AS impurity, n.track_id, n.label,
+       leaf.label AS predicted_label
+FROM n{depth} n JOIN leaf ON leaf.node = n.node WHERE n.subset = 'TEST') q"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -272,6 +346,8 @@ SELECT * FROM results ORDER BY avg_metric DESC, grid_id LIMIT 1""",
     "logreg_cv_test_error": _with(FIXTURE, MAJORITY) + ACCURACY_SELECT,
     "logreg_saturated": _with(FIXTURE, BANDED) + "SELECT * FROM pred",
     "forest_stump": _with(FIXTURE, BANDED) + "SELECT * FROM pred",
+    "tree_depth2": "\nUNION ALL ".join(_tree(target, impurity) for target in TREE_FEATURES
+                                       for impurity in IMPURITY),
     "logreg_cv_saturated": _with(FIXTURE, BANDED) + "SELECT * FROM bresults",
     "best_params_saturated": _with(FIXTURE, BANDED) + """
 SELECT * FROM bresults ORDER BY avg_metric DESC, grid_id LIMIT 1""",
