@@ -2,7 +2,7 @@
 
 import pytest
 
-from trackml.plans import experiments
+from trackml.plans import experiments, results
 
 from conftest import SF_SMALL
 
@@ -218,3 +218,74 @@ def test_listed_and_manifest_uris_compare_by_path(spark):
     uris = ["hdfs:///t/a.csv", "hdfs://nn:8020/t/a.csv", "file:/t/a.csv", "/t/a.csv/"]
     df = spark.createDataFrame([(u,) for u in uris], "u string")
     assert {r[0] for r in df.select(experiments._strip_scheme(df.u)).collect()} == {"/t/a.csv"}
+
+
+# ---------------------------------------------------------------- results table
+
+def _two_runs(spark):
+    base = {"feature_set": "orders", "label_set": "orders", "split_set": "orders",
+            "features_path": "x", "labels_path": "x", "splits_path": "x"}
+    return experiments.manifest_from_rows(spark, [
+        dict(base, run_id=0, algorithm="logreg", max_iter=2),
+        dict(base, run_id=1, algorithm="logreg", max_iter=3),
+        dict(base, run_id=2, algorithm="forest")])        # no num_trees: rejected
+
+
+def _table(spark, path):
+    return {r.run_id: r for r in experiments.read_results(spark, path).collect()}
+
+
+def test_crash_between_run_and_record_leaves_one_row(spark, tmp_dir, monkeypatch):
+    path = f"{tmp_dir}/results"
+    assert _table(spark, path) == {}
+    real, calls = results.commit, []
+
+    def crash(rows, path_, attempt):
+        calls.append(attempt)
+        if len(calls) == 3:
+            raise RuntimeError("driver lost")
+        real(rows, path_, attempt)
+
+    monkeypatch.setattr(results, "commit", crash)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        experiments.run_sweep(spark, _two_runs(spark), SF_SMALL, path)
+    monkeypatch.setattr(results, "commit", real)
+    assert len(_table(spark, path)) == 2
+    out = experiments.run_sweep(spark, _two_runs(spark), SF_SMALL, path)
+    found = _table(spark, path)
+    assert out.count() == 3 and sorted(found) == [0, 1, 2]
+    assert [found[i].status == "done" for i in range(3)] == [True, True, False]
+    # what was recorded before the crash was not run again
+    assert sorted(found[i].n_attempts for i in (0, 1)) == [1, 1]
+
+
+def test_two_sweeps_at_once_leave_one_row_per_run(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_dir}/results"
+    with ThreadPoolExecutor(2) as pool:
+        outs = list(pool.map(lambda _: experiments.run_sweep(
+            spark, _two_runs(spark), SF_SMALL, path).count(), range(2)))
+    found = experiments.read_results(spark, path)
+    assert outs == [3, 3] and found.count() == 3
+    assert found.where("status = 'done'").count() == 2
+
+
+def test_writing_a_result_again_and_which_attempt_counts(spark, tmp_dir):
+    path = f"{tmp_dir}/results"
+
+    def row(key, status, error=None):
+        return experiments._to_frame(spark, [
+            {"run_id": 5, "run_key": key, "status": status, "error": error}])
+
+    results.commit(row("k1", "done"), path, "a-1")
+    results.commit(row("k1", "done"), path, "a-1")
+    results.commit(row("k2", "failed", "first"), path, "a-1")
+    results.commit(row("k2", "failed", "second"), path, "a-2")
+    results.commit(row("k3", "done"), path, "a-1")
+    results.commit(row("k3", "failed", "late"), path, "a-2")
+    assert results.attempts(spark, path, experiments.RESULT_SCHEMA).count() == 5
+    found = {r.run_key: (r.status, r.error, r.n_attempts)
+             for r in experiments.read_results(spark, path).collect()}
+    assert found == {"k1": ("done", None, 1), "k2": ("failed", "second", 2),
+                     "k3": ("done", None, 2)}

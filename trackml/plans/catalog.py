@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trackml.functions.columns import rounded
 from trackml.operators import certify, evaluate, indexing, models, prepare, tuning
 from trackml.plans import experiments, jobs
-from trackml.session import checkpoint_root
+from trackml.session import checkpoint_root, stage_path
 from trackml.sources import files, fixtures
 from trackml.sources.files import KEY, LABEL, SUBSET
 
@@ -489,6 +489,18 @@ def sweep_summary(spark, sf_dir):
     return experiments.summarize(experiment_sweep(spark, sf_dir))
 
 
+def sweep_results(spark, sf_dir):
+    """E3 + E5 + S8: the order experiments swept twice into one results table and
+    read back; the second sweep finds every run recorded."""
+    path = stage_path(spark, "results")
+    manifest = experiments.fixture_manifest(spark, sf_dir).where(
+        F.col("feature_set") == "orders")
+    for _ in range(2):
+        experiments.run_sweep(spark, manifest, sf_dir, results_path=path)
+    return experiments.read_results(spark, path).select(
+        "run_id", "app_name", "algorithm", "status", "n_train", "n_attempts")
+
+
 QUERIES = {
     "track_join": track_join,
     "year_join": year_join,
@@ -533,4 +545,5 @@ QUERIES = {
     "objective_certificate": objective_certificate,
     "experiment_sweep": experiment_sweep,
     "sweep_summary": sweep_summary,
+    "sweep_results": sweep_results,
 }

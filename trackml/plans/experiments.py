@@ -3,7 +3,7 @@
 The reference keeps one text config per experiment and one ``spark-submit``
 per config.  Here an experiment is one row of a manifest DataFrame; a sweep is
 one Spark application that runs the manifest's rows (a few at a time), each a
-set of distributed jobs, and keeps one result row per run (appended to a
+set of distributed jobs, and keeps one result row per run (committed to a
 results table when a path is given).  The manifest has one row per experiment,
 so it is small however large the data is.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackml.operators import models, tuning
-from trackml.plans import jobs
+from trackml.plans import jobs, results
 from trackml.session import release, stage_path
 from trackml.sources import files, fixtures
 
@@ -401,12 +401,8 @@ def _recorded(spark: SparkSession, results_path: str | None, keys: list[str]) ->
     """Finished rows of the results table by run key, for the runs asked for."""
     if not results_path:
         return {}
-    try:
-        previous = spark.read.schema(RESULT_SCHEMA).parquet(results_path)
-    except AnalysisException:  # no results table yet
-        return {}
-    done = previous.where((F.col("status") == "done") & F.col("run_key").isin(keys))
-    return {r.run_key: r.asDict(recursive=True) for r in done.collect()}
+    done = results.read(spark, results_path, RESULT_SCHEMA, keys).where(F.col("status") == "done")
+    return {r.run_key: r.asDict(recursive=True) for r in done.drop("n_attempts").collect()}
 
 
 def _check_ids(rows: list) -> None:
@@ -433,12 +429,14 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     time (driver threads submitting distributed jobs; one small experiment
     alone leaves most of a large cluster idle).
     A failing run records its error and the sweep goes on.  With
-    ``results_path`` each row is appended to a Parquet results table as soon
-    as its run ends.  A run recorded there as done under the same ``run_key``
-    (all resolved settings, not the number) is not run again, so a sweep
-    interrupted by a driver failure resumes where it stopped.  The result has a
-    row for every manifest row, also after a resume.  Missing or repeated
-    ``run_id`` values are refused before anything runs.
+    ``results_path`` each row is committed to a Parquet results table as soon
+    as its run ends (:mod:`trackml.plans.results`; read it with
+    :func:`read_results`).  A run recorded there as done under the same
+    ``run_key`` (all resolved settings, not the number) is not run again, so a
+    sweep interrupted by a driver failure resumes where it stopped, and sweeps
+    at the same time leave one row per run.  The result has a row for every
+    manifest row, also after a resume.  Missing or repeated ``run_id`` values
+    are refused before anything runs.
     """
     rows = apply_defaults(manifest).orderBy(
         F.col("features_path").asc_nulls_first(), F.col("labels_path").asc_nulls_first(),
@@ -452,10 +450,12 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     parsed: dict = {}
     out = []
 
+    attempt = results.new_attempt()
+
     def record(base):
         out.append(base)
         if results_path:
-            _to_frame(spark, [base]).write.mode("append").parquet(results_path)
+            results.commit(_to_frame(spark, [base]), results_path, attempt)
 
     todo = [r for r in rows if run_key(r) not in finished]
     out.extend(dict(finished[run_key(r)], run_id=r["run_id"]) for r in rows
@@ -494,10 +494,15 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     return _to_frame(spark, sorted(out, key=lambda o: o["run_id"]))
 
 
-def summarize(results: DataFrame) -> DataFrame:
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results table, one row per run, with its number of attempts."""
+    return results.read(spark, path, RESULT_SCHEMA)
+
+
+def summarize(rows: DataFrame) -> DataFrame:
     """E7 (extension): runs, mean accuracy / error, mean duration per
     (label set, feature set, algorithm)."""
-    done = results.where(F.col("status") == "done")
+    done = rows.where(F.col("status") == "done")
     return done.groupBy("label_set", "feature_set", "algorithm").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.round(F.avg("accuracy"), 8).alias("avg_accuracy"),

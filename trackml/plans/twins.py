@@ -365,4 +365,12 @@ CROSS JOIN (VALUES {_names(OLS_COLUMNS[:-1])}) AS f(feature)""",
 SELECT 'logreg' AS model, count(*) AS n_rows, true AS agrees, true AS sparse
 FROM joined WHERE subset = 'TRAIN'
 UNION ALL SELECT 'year', count(*), true, true FROM yj""",
+    "sweep_results": _with(FIXTURE) + """
+SELECT CAST(r.run_id AS INTEGER) AS run_id, r.app_name, r.algorithm, 'done' AS status,
+       CASE WHEN r.algorithm <> 'year' THEN
+         (SELECT count(*) FROM joined WHERE subset = 'TRAIN') END AS n_train,
+       CAST(1 AS BIGINT) AS n_attempts
+FROM (VALUES (0, 'logreg orders orders orders', 'logreg'),
+             (1, 'forest orders orders orders', 'forest'),
+             (4, 'year orders_year orders -', 'year')) AS r(run_id, app_name, algorithm)""",
 }
