@@ -123,3 +123,34 @@ def test_part_files_with_another_column_order_fail(spark, tmp_dir):
             fh.write(f"{files.SOURCE_KEY},{header}\n1,1.0,2.0\n")
     with pytest.raises(Exception):
         files.read_features_csv(spark, f"{tmp_dir}/parts").collect()
+
+
+def test_quarantine_keeps_raw_lines_and_reasons(spark, tmp_dir):
+    lines = ['MSD_TRACKID,year,artist,song', '1,1999,"a, b",s', '2,1999', '3,1999,a,s,more',
+             '4,n/a,a,"s, t"', '5,2001,"x ""y"" z",s', '6,,a,s', '7,1999,"a, b, c"',
+             '8,2002,"open,s']
+    with open(f"{tmp_dir}/years.csv", "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    parsed = files.parse_year_labels_csv(spark, f"{tmp_dir}/years.csv")
+    assert {(r.track_id, r.year) for r in parsed.rows.collect()} == {
+        ("1", 1999), ("5", 2001), ("6", None)}
+    assert {(r.line, r.reason) for r in parsed.quarantine.collect()} == {
+        (lines[2], "short"), (lines[3], "long"), (lines[4], "value"), (lines[7], "short"),
+        (lines[8], "value")}
+    # one parse: both read the same staged files
+    assert parsed.rows.inputFiles() == parsed.quarantine.inputFiles()
+    # rows read alone are the same
+    assert files.read_year_labels_csv(spark, f"{tmp_dir}/years.csv").count() == 3
+
+
+def test_quarantine_without_malformed_lines(spark, tmp_dir):
+    with open(f"{tmp_dir}/l.tsv", "w") as fh:
+        fh.write("1\tjazz\n2\trock\n")
+    parsed = files.parse_labels_tsv(spark, f"{tmp_dir}/l.tsv")
+    assert parsed.rows.count() == 2 and parsed.quarantine.count() == 0
+
+
+def test_quarantine_of_an_empty_file(spark, tmp_dir):
+    open(f"{tmp_dir}/e.tsv", "w").close()
+    parsed = files.parse_splits_tsv(spark, f"{tmp_dir}/e.tsv")
+    assert parsed.rows.count() == 0 and parsed.quarantine.count() == 0

@@ -110,6 +110,62 @@ def text_inputs_join(spark, sf_dir):
     return prepare.join_tracks(read["splits"], read["labels"], read["features"])
 
 
+# Lines spoilt by the key's remainder: a field missing, one too many, a value
+# that is no number (fixed values of the query and its twin).
+SPOILT = {1: "short", 2: "long", 3: "value"}
+SPOILT_MODULUS = 50
+
+
+def _spoilt_lines(df: DataFrame, cells: list[str], sep: str, number: int | None) -> DataFrame:
+    """``line`` of each row; ``number`` is the place of a numeric cell that can be spoilt."""
+    rest = F.pmod(F.col(KEY), F.lit(SPOILT_MODULUS))
+    own = [F.col(c).cast("string") for c in cells]
+    line = F.concat_ws(sep, *own)
+    wrong = list(own)
+    if number is not None:
+        wrong[number] = F.lit("n/a")
+    return df.select(F.when(rest == 1, F.concat_ws(sep, *own[:-1]))
+                     .when(rest == 2, F.concat(line, F.lit(f"{sep}more")))
+                     .when(rest == 3, F.concat_ws(sep, *wrong)).otherwise(line).alias("line"))
+
+
+def _write_lines(lines: DataFrame, path: str, header: str | None) -> None:
+    if header is None:
+        lines.write.text(path)
+    else:  # one raw column under the header line, unquoted
+        lines.withColumnRenamed("line", header).write.option("header", True) \
+            .option("sep", "\u0001").option("quote", "\u0000").csv(path)
+
+
+def quarantined_rows(spark, sf_dir):
+    """The four inputs written from the orders with spoilt lines, each read
+    back by one parse; rows and keys kept, and quarantined by reason."""
+    base = stage_path(spark, "spoilt")
+    orders = fixtures.order_labels(spark, sf_dir).join(
+        fixtures.order_splits(spark, sf_dir), KEY).join(
+        fixtures.order_year_labels(spark, sf_dir), KEY).withColumn(
+        "artist", F.lit('"a, b"')).withColumn("half", F.col(KEY) / 2)
+    inputs = {
+        "features": ([KEY, files.YEAR, "half"], ",", 1, f"{files.SOURCE_KEY},x,y",
+                     files.parse_features_csv),
+        "labels": ([KEY, LABEL], "\t", None, None, files.parse_labels_tsv),
+        "splits": ([KEY, SUBSET], "\t", None, None, files.parse_splits_tsv),
+        "years": ([KEY, files.YEAR, "artist"], ",", 1, f"{files.SOURCE_KEY},year,artist",
+                  files.parse_year_labels_csv),
+    }
+    parts = []
+    for name, (cells, sep, number, header, parse) in inputs.items():
+        _write_lines(_spoilt_lines(orders, cells, sep, number), f"{base}/{name}", header)
+        parsed = parse(spark, f"{base}/{name}")
+        key = F.split("line", sep)[0].alias(KEY)
+        both = parsed.rows.select(KEY, F.lit("kept").alias("reason")).unionByName(
+            parsed.quarantine.select(key, "reason"))
+        parts.append(both.groupBy("reason").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(KEY).cast("bigint")).alias("key_sum"))
+            .select(F.lit(name).alias("input"), "*"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def assembled_features(spark, sf_dir):
     """the assembled vector, one column per slot."""
     joined = _joined(spark, sf_dir)
@@ -509,6 +565,7 @@ QUERIES = {
     "train_rows": train_rows,
     "test_rows": test_rows,
     "text_inputs_join": text_inputs_join,
+    "quarantined_rows": quarantined_rows,
     "assembled_features": assembled_features,
     "label_index": label_index,
     "feature_categories": feature_categories,

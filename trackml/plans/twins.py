@@ -285,6 +285,14 @@ SELECT subset, label, count(*) AS n_rows FROM joined GROUP BY subset, label""",
     "text_inputs_join": _with(FIXTURE) + """
 SELECT CAST(track_id AS VARCHAR) AS track_id, subset, label, n_items, qty, cents, n_rf, n_ls
 FROM joined""",
+    "quarantined_rows": """
+SELECT input, reason, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM (SELECT i.input, o.o_orderkey, CASE
+        WHEN o.o_orderkey % 50 = 1 THEN 'short' WHEN o.o_orderkey % 50 = 2 THEN 'long'
+        WHEN o.o_orderkey % 50 = 3 AND i.typed THEN 'value' ELSE 'kept' END AS reason
+      FROM orders o CROSS JOIN (VALUES ('features', true), ('labels', false),
+                                       ('splits', false), ('years', true)) AS i(input, typed)) x
+GROUP BY input, reason""",
     "assembled_features": _with(FIXTURE) + """
 SELECT track_id, subset, label, n_items AS slot0, qty AS slot1, cents AS slot2,
        n_rf AS slot3, n_ls AS slot4
