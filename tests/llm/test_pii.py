@@ -85,6 +85,49 @@ def test_persons(spark):
     assert out[3] == "the Mr. and Dr. of"
 
 
+def test_names_without_title_in_the_same_document(spark):
+    out = run(spark, [
+        (1, "Ms. Ada King wrote. Ada King signed; King left, and King's Adam stayed. ADA"),
+        (2, "Ada King is not introduced here."), (3, "Dr. Ada King and Ms. Ada King, Ada."),
+        (4, "Dr. Ada Long. Mr. Alex Roe, Ms. Alex Roe and Dr. Alex Roe")])
+    m = re.fullmatch(r"Ms\. (\w+) (\w+) wrote\. (\w+) (\w+) signed; (\w+) left, and (\w+)'s "
+                     r"Adam stayed\. ADA", out[0])
+    ada, king = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6]) == (ada, king, king, king) and ada.endswith("a")
+    assert out[1] == "Ada King is not introduced here."
+    assert out[2] == f"Dr. {ada} {king} and Ms. {ada} {king}, {ada}."
+    # another person's given name, and titles that disagree, keep apart
+    m = re.fullmatch(r"Dr\. (\w+) \w+\. Mr\. (\w+) (\w+), Ms\. (\w+) (\w+) and Dr\. (\w+) (\w+)",
+                     out[3])
+    assert m[1] != ada and len({m[2], m[4], m[6]}) == 3 and m[3] == m[5] == m[7]
+    assert "Alex" not in out[3]
+
+
+def test_more_forms(spark):
+    texts = ["jo@münchen.de and JO@MÜNCHEN.DE", "почта ivan@почта.рф",
+             "call 020 7946 0958 or 030/1234567", "2001:db8:85a3:0:0:8a2e:370:7334 fe80::1ff:fe23",
+             "at 12:30:45, std::vector and a::b::c", "2021-05-06 0.123 007"]
+    out = run(spark, list(enumerate(texts)))
+    a, b = out[0].split(" and ")
+    assert a.upper() == b and re.fullmatch(r"[a-z]{2}@[a-z]\w[a-z]{5}\.de", a) and "ü" in texts[0]
+    assert re.fullmatch(r"почта [a-z]{4}@[а-я]{5}\.рф", out[1]) and "почта.рф" not in out[1]
+    assert re.fullmatch(r"call 0\d\d \d{4} \d{4} or 0\d\d/\d{7}", out[2]) and out[2] != texts[2]
+    one, two = out[3].split()
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}:\w:\w:\w{4}:\w{3}:\w{4}", one)
+    assert re.fullmatch(r"fe80::[0-9a-f]{3}:[0-9a-f]{4}", two) and out[3] != texts[3]
+    assert out[4:] == texts[4:]
+
+
+def test_name_surrogates_are_no_real_names(spark):
+    names = [f"{a}{b}" for a in "bdfgklmnprstv" for b in "aeiou"]
+    entities = spark.createDataFrame(
+        [(k, n) for n in names for k in ("given", "given_m", "surname")],
+        "kind string, norm string")
+    got = pii.surrogates(Scratch(spark, "t"), entities, "k").collect()
+    assert len(got) == 3 * len(names) == len({r.sur for r in got})
+    assert not {r.sur for r in got} & set(names)
+
+
 def test_key_decides(spark):
     rows = [(1, "a@b.example.org 83.49.163.98")]
     assert run(spark, rows, "k1") == run(spark, rows, "k1") != run(spark, rows, "k2")
