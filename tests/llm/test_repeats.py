@@ -81,3 +81,32 @@ def test_automaton_finds_every_occurrence():
     found = [machine.located(scan.word_list(i), int(scan.first[i + 1] - scan.first[i])).tolist()
              for i in range(4)]
     assert found == [[True, False, False, True], [False, False, True, False], [], []]
+
+
+def morse(n, one, other):
+    """The first n signs of the Thue-Morse sequence, whose sums of odd powers cancel."""
+    return [one if bin(i).count("1") % 2 else other for i in range(n)]
+
+
+def test_texts_with_colliding_power_sums_are_no_copies(spark):
+    """Word by word the two texts differ by the sign of the sequence alone."""
+    a, b = ([f"r{i} {w}" for i, w in enumerate(morse(2048, x, y))]
+            for x, y in (("yes", "no"), ("no", "yes")))
+    assert [r[2] for r in run(spark, [(1, " ".join(a)), (2, " ".join(b))])] == [0, 0]
+    # the same within words: bytes in the order of the sequence and its opposite
+    x, y = ("".join(morse(4096, *p)) for p in ("ab", "ba"))
+    rows = [(1, " ".join([x] * 5 + [f"n{i}" for i in range(15)])),
+            (2, " ".join([y] * 5 + [f"n{i}" for i in range(15)]))]
+    assert run(spark, rows) == brute(rows, 20)
+
+
+def test_content_digests():
+    import hashlib
+
+    texts = ["", " ", "a", " a  b\tc\n", "x" * 2000, "é ü\x0bz ", "a b c", None]
+    for size in (1, 8, 1 << 20):
+        got = []
+        for s in T.slices(pa.array(texts, pa.string()), size):
+            got += T.content_digests(s, T.words(s)).tobytes().hex(" ", 32).split()
+        assert got == [hashlib.sha256(" ".join(WORD.findall(t or "")).encode()).hexdigest()
+                       for t in texts]

@@ -4,8 +4,9 @@ A window is ``window`` consecutive words of one document.  Each word covered by
 a window whose word sequence also starts earlier (smaller doc_id, or the same
 document and an earlier start) is removed; windows are judged on the input.
 
-1. Copies: of documents with the same word sequence (at least a window long)
-   only the smallest doc_id is looked at further; the others lose every word.
+1. Copies: of documents with the same word sequence (at least a window long;
+   told by the SHA-256 of its words) only the smallest doc_id is looked at
+   further; the others lose every word.
 2. Recurring phrases: of the phrases in each window the one with the smallest
    hash stands for it (winnowing), the same one wherever the window occurs.
    Phrases are counted over all documents; a window that repeats has a phrase
@@ -16,7 +17,7 @@ document and an earlier start) is removed; windows are judged on the input.
    located phrases are the candidates.  An automaton is
    bounded by its shard's text, and a text meets one automaton, however many
    phrases the corpus has.
-4. Candidates are grouped by a 128-bit key of the window's words; all but the
+4. Candidates are grouped by two 64-bit keys of the window's words; all but the
    first occurrence mark their words, which the last pass removes.
 
 Defined cases: a null text has no words.  Rows that share a doc_id are one
@@ -59,10 +60,9 @@ class Scan:
         least = np.lib.stride_tricks.sliding_window_view(self.phrases, span)[starts]
         return starts + least.argmin(axis=1), first
 
-    def text_keys(self, which: int = 0) -> np.ndarray:
-        """Hash of each document's whole word sequence."""
-        own = T.run_hashes(self.hashes, self.words.first[:-1], self.words.first[1:], which)
-        return T.mix(own + self.words.count().astype(np.uint64)).view(np.int64)
+    def text_keys(self) -> np.ndarray:
+        """Two 64-bit keys of each document's whole word sequence, from its SHA-256."""
+        return T.content_digests(self.slice, self.words)[:, :2]
 
     def word_list(self, i: int) -> list[str]:
         s, w = self.slice, self.words
@@ -91,9 +91,10 @@ def _scan(window: int, phrase: int):
                 new[1:] = chosen[1:] != chosen[:-1]
                 ends = np.concatenate([[0], np.cumsum(new)])[first].astype(np.int32)
                 values = scan.phrases[chosen[new]].view(np.int64)
+                keys = scan.text_keys()
                 yield pa.record_batch([
-                    ids.slice(s.lo, s.hi - s.lo), pa.array(scan.text_keys()),
-                    pa.array(scan.text_keys(1)), pa.array(scan.words.count()),
+                    ids.slice(s.lo, s.hi - s.lo), pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]), pa.array(scan.words.count()),
                     pa.array(np.diff(s.offsets)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
                     names=["doc_id", "text_key", "text_key2", "n_words", "n_bytes", "phrases"])
@@ -171,7 +172,7 @@ def _locate(window: int, phrase: int):
             out.append(pa.table({
                 "key1": T.run_hashes(scan.hashes, begin, begin + window).view(np.int64),
                 "key2": T.run_hashes(scan.hashes, begin, begin + window, 1).view(np.int64),
-                "doc_id": ids[s.lo:s.hi][doc], "text_key": scan.text_keys()[doc],
+                "doc_id": ids[s.lo:s.hi][doc], "text_key": scan.text_keys()[doc, 0],
                 "start": start.astype(np.int32)}))
         return pa.concat_tables(out)
     return run
@@ -186,7 +187,7 @@ def _cut(window: int, phrase: int):
             ids, marks = T.column(batch, "doc_id"), T.column(batch, "marks")
             for s in T.slices(T.column(batch, "text")):
                 scan = Scan(s, window, phrase)
-                count, keys = scan.words.count(), scan.text_keys()
+                count, keys = scan.words.count(), scan.text_keys()[:, 0]
                 removed, kept = np.zeros(len(count), np.int64), []
                 for i in range(len(count)):
                     words = scan.word_list(i)

@@ -8,6 +8,7 @@ end.  Hashes are 64-bit and the same in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,16 +133,48 @@ def word_hashes(s: Slice, w: Words, lower: bool = False) -> np.ndarray:
     return range_hashes(LOWER[s.data] if lower else s.data, w.starts, w.ends)
 
 
+#: bytes from which a range is hashed by itself: sums of powers modulo 2^64 collide for
+#: every odd base on patterns of 1,024 symbols (Thue-Morse), so none are taken that long
+LONG = 512
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range of ``data``."""
     up, down = _BYTE_POWERS.get(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    out = mix((total[ends] - total[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts >= LONG):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def content_digests(s: Slice, w: Words) -> np.ndarray:
+    """SHA-256 of each document's words joined by one blank, as four 64-bit values a row."""
+    edge = np.zeros(len(s.data) + 1, np.int8)
+    edge[w.starts] += 1
+    edge[w.ends] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    # the byte behind each word but a document's last is white space; it becomes the blank
+    last = w.first[1:][w.count() > 0] - 1
+    between = np.delete(w.ends, last)
+    keep[between] = True
+    data = s.data.copy()
+    data[between] = 0x20
+    data = data[keep]
+    stops = np.concatenate([[0], np.cumsum(keep)])[s.offsets] if len(keep) \
+        else np.zeros(len(s.offsets), np.int64)
+    digests = b"".join(hashlib.sha256(data[a:b].tobytes()).digest()
+                       for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True))
+    return np.frombuffer(digests, "<i8").reshape(-1, 4)
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hash of each run of consecutive words ``starts:ends``; ``which`` picks one of two."""
+    """Hash of each run of consecutive words ``starts:ends``; ``which`` picks one of two.
+
+    For short runs (phrases, windows, shingles) only: see ``LONG``.
+    """
     up, down = _WORD_POWERS[which].get(len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, U64)
     np.cumsum(hashes * up[:-1], out=total[1:])
