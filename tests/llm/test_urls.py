@@ -48,3 +48,28 @@ def test_empty_and_repeated(spark):
     schema = "page_id long, url string"
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
     assert urls.judge(spark.createDataFrame([(None, None), (1, "u"), (1, "u")], schema)).count() == 3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_no_term_is_a_host_of_the_tables(sf):
+    """The vocabulary is not fitted to the pages at hand."""
+    hosts = duckdb.sql("select distinct lower(regexp_extract(url, '://([^/?#]*)', 1)) "
+                       f"from '/root/testdata/{sf}/pages.parquet' where url is not null").fetchall()
+    labels = {part for (h,) in hosts for part in h.split(".")}
+    assert not labels & {*urls.STRICT, *urls.SOFT}
+
+
+def test_other_vocabulary(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/casino"), (2, "http://a.org/tulips"),
+                                   (3, "http://a.org/rose-oak")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(
+        pages, rules=(), strict=("tulips",), soft=("rose", "oak")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block"}
+    got = urls.judge(pages, rules=(), strict=("tulips",), soft=("rose", "oak"), soft_limit=3)
+    assert {r.page_id: r.verdict for r in got.collect()}[3] == "allow"
+
+
+def test_query_parameters_are_no_terms(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/en/1?page=2&ref=x")],
+                                  "page_id long, url string")
+    assert urls.judge(pages).first().soft_hits == 0

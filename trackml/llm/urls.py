@@ -24,15 +24,33 @@ from pyspark.sql import functions as F
 
 from trackml.llm import text as T
 
-# Vocabulary: fixed values
-STRICT = ("adult-x", "bestiality", "camgirl", "casino", "casino-win", "cheap-pills", "escort",
-          "free-bets", "hardcore", "hentai", "milf", "nsfw", "nude", "nudes", "porn", "porno",
-          "redtube", "spam-farm", "viagra", "warez", "webcams", "xnxx", "xvideos", "xxx")
-SOFT = ("18plus", "adult", "ads", "ads-track", "bet", "bets", "bingo", "bonus", "cam", "cheap",
-        "cialis", "click", "crack", "dating", "download", "farm", "free", "gamble", "gambling",
-        "girls", "hot", "jackpot", "keygen", "loan", "loans", "lottery", "pharma", "pharmacy",
-        "pills", "poker", "prize", "promo", "serial", "sex", "sexy", "slots", "spam", "teen",
-        "torrent", "track", "tracker", "win", "x")
+# Vocabulary by subject and language, chosen by hand from words that such sites use
+# for themselves; a strict term blocks alone.  ``judge`` takes any other.  Fixed values.
+STRICT = (
+    # adult
+    "bestiality", "blowjob", "camgirl", "camgirls", "escort", "escorts", "gangbang", "hardcore",
+    "hentai", "milf", "nsfw", "nude", "nudes", "porn", "porno", "pornos", "pornstar", "redtube",
+    "sexcam", "sexcams", "webcams", "xnxx", "xvideos", "xxx",
+    "ficken", "nutten", "sexkontakte",
+    "salope", "salopes",
+    "follar", "putas",
+    # gambling, pills, copied software
+    "casino", "viagra", "warez")
+SOFT = (
+    # adult
+    "18plus", "adult", "cam", "cams", "dating", "girls", "hot", "sex", "sexy", "teen", "teens",
+    "erotik", "singles", "partnersuche", "rencontre", "rencontres", "sexe", "coquine", "citas",
+    "sexo", "chicas",
+    # gambling
+    "bet", "bets", "betting", "bingo", "gamble", "gambling", "jackpot", "lottery", "poker",
+    "roulette", "slots", "wetten", "lotto", "spielautomaten", "loterie", "apuestas", "loteria",
+    # pills and money
+    "cialis", "loan", "loans", "pharma", "pharmacy", "pills", "kredit", "potenzmittel",
+    "pilules", "pastillas", "prestamos",
+    # lures, adverts, copied software
+    "ads", "adserver", "bonus", "cheap", "click", "crack", "cracked", "download", "free", "keygen",
+    "prize", "promo", "serial", "spam", "torrent", "torrents", "tracker",
+    "gewinnspiel", "gratis", "gratuit")
 
 # Rules: fixed values
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
