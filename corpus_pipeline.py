@@ -8,6 +8,7 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackml.llm import minhash, packing, pii, quality_model, tiling
 from trackml.llm.queries import tokenizer_path
@@ -22,12 +23,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest doc_id.
 
-    Five-word shingles, similarity of 0.8 or more.  Rows that share a kept
-    doc_id stay as one row; rows without doc_id stay.
+    Five-word shingles, similarity of 0.8 or more.  Of rows that share doc_id
+    and text the one with the smallest other columns stays; rows of a kept
+    doc_id with different texts all stay; rows without doc_id stay.
     """
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns).union(
+    ids = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept")
+    found = docs.join(ids, "doc_id")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = found.where("_rows > 1").groupBy("doc_id", "text").agg(
+        F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_rest")).select(
+        "doc_id", "text", *(F.col("_rest").getField(c).alias(c) for c in rest))
+    return found.where("_rows = 1").select(*(F.col(f"`{c}`") for c in docs.columns)).union(
+        again.select(*(F.col(f"`{c}`") for c in docs.columns))).union(
         docs.where("doc_id is null"))
 
 
