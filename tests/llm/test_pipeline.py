@@ -40,3 +40,18 @@ def test_stages_take_empty_null_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "5", "None"]
     clean = corpus_pipeline.decontamination(spark, df, SF)
     assert clean.count() == df.count()
+
+
+def test_near_dedup_rows_that_share_an_id(spark):
+    """Different texts of one id all stay; equal ones once, the same on every run."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "en", "z", 1), (2, b, "en", "s2", 2), (2, c, "en", "s1", 3),
+            (2, c, "en", "s0", 3), (3, a, "en", "s", 1), (None, a, None, None, None),
+            (None, a, None, None, None), (4, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        out = corpus_pipeline.near_dedup(spark, df.repartition(parts), SF)
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(
+            [rows[0], rows[1], rows[3], rows[5], rows[6], rows[7], rows[8]], key=repr)
