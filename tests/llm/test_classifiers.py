@@ -111,3 +111,15 @@ def test_language_from_function_words():
 def test_best_cut_parts_the_classes():
     z, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])
     assert toxicity.best_cut(z, y) == 1.5
+
+
+def test_a_very_long_labelled_text_does_not_end_the_sample(spark):
+    from trackml.llm import labelled
+
+    rows = [(i, 10) for i in range(200)] + [(1000 + i, 500) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = labelled.within(df, "n", 1500)
+    assert {r.n for r in got.collect()} == {10} and got.count() == 150
+    again = labelled.within(df.where("n = 10"), "n", 1500)
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in again.collect()}
+    assert labelled.within(df.limit(0), "n", 5).count() == 0

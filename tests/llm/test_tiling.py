@@ -112,3 +112,48 @@ def test_empty_tables(spark, items):
     assert tiling.decontaminate(make_docs(spark, []), items).count() == 0
     [row] = tiling.decontaminate(make_docs(spark, [(1, ITEM)]), items.limit(0)).collect()
     assert not row.contaminated
+
+
+def test_places_equal_plain_version():
+    """Not only the lengths: the first of equally long matches is taken."""
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        a, b = (rng.integers(0, 3, rng.integers(0, 20)).astype(np.uint64) for _ in range(2))
+        for least in (1, 2, 3):
+            assert tiling.tiles(a, b, least) == plain_tiles(a.tolist(), b.tolist(), least)
+
+
+def test_small_pair_batches_give_the_same(monkeypatch):
+    rng = np.random.default_rng(12)
+    cases = [tuple(rng.integers(0, 2, rng.integers(5, 40)).astype(np.uint64) for _ in range(2))
+             for _ in range(40)]
+    want = [tiling.tiles(a, b, 2) for a, b in cases]
+    monkeypatch.setattr(tiling, "PAIRS", 3)
+    assert [tiling.tiles(a, b, 2) for a, b in cases] == want
+
+
+@pytest.mark.parametrize("one,other", [
+    (np.zeros(1000), np.zeros(100_000)),
+    (np.tile(np.arange(7), 150), np.tile(np.arange(7), 15_000)),
+    (np.concatenate([[9, 9, 9, 9, 9, k + 10] for k in range(150)]),
+     np.concatenate([[9, 9, 9, 9, 9, k + 1000] for k in range(15_000)]))])
+def test_repetitive_texts_stay_small(one, other):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.thread_time()
+    found = tiling.tiles(one.astype(np.uint64), other.astype(np.uint64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and sum(n for *_, n in found) >= 0.8 * len(one)
+    assert peak < 500e6 and time.thread_time() - began < 60
+
+
+def test_repetitive_document_through_the_query(spark):
+    item = "again " * 1000
+    docs = make_docs(spark, [(1, "again " * 100_000), (2, "again " * 400 + "and other words")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.coverage) for r in
+           tiling.decontaminate(docs, bench).collect()}
+    assert got == {1: (True, 1.0), 2: (False, 0.0)}

@@ -27,11 +27,19 @@ def sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+#: a text may take this share of a sample's size at the most, else it is left out
+TEXT_SHARE = 0.01
+
+
 def within(sized: DataFrame, size: str, most: int) -> DataFrame:
     """The first rows, in hash order, whose sizes add up to ``most`` at the most.
 
-    For samples only: they have a bounded number of rows.
+    A row above ``TEXT_SHARE`` of ``most`` is left out and does not end the
+    sample.  For staged samples only: they have a bounded number of rows, of
+    which the sum reads ids and sizes alone.
     """
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
-    return sized.withColumn("_sum", F.sum(size).over(order)).where(
-        F.col("_sum") <= most).drop("_sum")
+    rows = sized.withColumn("_row", F.monotonically_increasing_id())
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "_row")
+    first = rows.select("_row", "doc_id", size).where(F.col(size) <= most * TEXT_SHARE).withColumn(
+        "_sum", F.sum(size).over(order)).where(F.col("_sum") <= most).select("_row")
+    return rows.join(first, "_row").drop("_row")

@@ -181,6 +181,11 @@ def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of word hashes and of its inverse."""
+    return _WORD_POWERS[0].get(n)
+
+
 def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``n`` consecutive words of one document.
 

@@ -33,6 +33,8 @@ from trackml.llm import text as T
 from trackml.llm.scratch import Scratch, bound_batches
 
 BLOCK_TOKENS = 1 << 20
+#: pairs of places measured at a time
+PAIRS = 1 << 18
 
 
 def tokens(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -47,56 +49,129 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return T.run_hashes(hashes, starts, starts + n)
 
 
+class _Sums:
+    """Running sums of a token sequence: a hash of any range, for comparing ranges."""
+
+    def __init__(self, h: np.ndarray):
+        up, self.down = T.word_powers(len(h) + 1)
+        self.total = np.zeros(len(h) + 1, T.U64)
+        np.cumsum(h * up[:-1], out=self.total[1:])
+
+    def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return (self.total[starts + lengths] - self.total[starts]) * self.down[starts]
+
+
+class _Side:
+    """An item or document: tokens, which are free, and ranges of free tokens."""
+
+    def __init__(self, tokens_: np.ndarray):
+        self.tokens, self.free = tokens_, np.ones(len(tokens_), bool)
+        self.sums = _Sums(tokens_)
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of ``length`` free tokens in a row, and their hashes."""
+        starts = np.arange(max(0, len(self.tokens) - length + 1))
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        starts = starts[taken[starts + length] == taken[starts]]
+        return starts, self.sums.of(starts, np.full(len(starts), length))
+
+    def room(self) -> np.ndarray:
+        """Free tokens from each place on."""
+        place = np.arange(len(self.free))
+        stop = np.where(self.free, len(self.free), place)
+        return np.minimum.accumulate(stop[::-1])[::-1] - place
+
+    def opens(self, starts: np.ndarray) -> np.ndarray:
+        """Where no free token stands before a start."""
+        return (starts == 0) | ~self.free[starts - 1]
+
+    def take(self, start: int, length: int) -> None:
+        self.free[start:start + length] = False
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: ``(item start, document start, length)`` of each tile."""
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    a, b = _Side(item), _Side(doc)
     out: list[tuple[int, int, int]] = []
     length = max(least, len(item) // 2)
     while True:
-        found = _matches(item, doc, free_item, free_doc, length)
-        longest = max((n for _, _, n in found), default=0)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for i, j, n in found:
-            if n == longest and free_item[i:i + n].all() and free_doc[j:j + n].all():
-                free_item[i:i + n] = free_doc[j:j + n] = False
+        n, at_item, at_doc = _longest(a, b, length)
+        marked = len(out)
+        for i, j in zip(at_item.tolist(), at_doc.tolist(), strict=True):
+            if a.free[i:i + n].all() and b.free[j:j + n].all():
+                a.take(i, n)
+                b.take(j, n)
                 out.append((i, j, n))
-        if found:
+        if len(out) > marked:
             continue
         if length == least:
             return out
         length = max(least, length // 2)
 
 
-def _matches(item, doc, free_item, free_doc, length) -> list[tuple[int, int, int]]:
-    """Matches of at least ``length`` free tokens that cannot be made longer."""
-    def runs(h, free):
-        starts = np.arange(max(0, len(h) - length + 1))
-        taken = np.concatenate([[0], np.cumsum(~free)])
-        starts = starts[taken[starts + length] == taken[starts]]
-        return starts, T.run_hashes(h, starts, starts + length)
+def _longest(a: _Side, b: _Side, length: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The longest matches of at least ``length`` free tokens, by item and document place.
 
-    at_item, keys = runs(item, free_item)
-    at_doc, other = runs(doc, free_doc)
+    Windows are paired by hash, but only where a match starts: where the tokens
+    before both differ, or one side has no free token there.  The pairs are
+    measured ``PAIRS`` at a time, so very repetitive texts need no more memory.
+    """
+    at_item, keys = a.windows(length)
+    at_doc, other = b.windows(length)
     keep = np.isin(other, keys)
     at_doc, other = at_doc[keep], other[keep]
-    by_key: dict[int, list[int]] = {}
-    for i, k in zip(at_item.tolist(), keys.tolist(), strict=True):
-        by_key.setdefault(k, []).append(i)
-    pairs = sorted((i, j) for j, k in zip(at_doc.tolist(), other.tolist(), strict=True)
-                   for i in by_key[k])
-    found = []
-    for i, j in pairs:
-        if i and j and free_item[i - 1] and free_doc[j - 1] and item[i - 1] == doc[j - 1]:
-            continue  # part of the match that starts one token earlier
-        n = 0
-        while (i + n < len(item) and j + n < len(doc) and free_item[i + n]
-               and free_doc[j + n] and item[i + n] == doc[j + n]):
-            n += 1
-        if n >= length:
-            found.append((i, j, n))
-    return found
+    order = np.argsort(other, kind="stable")
+    at_doc, other = at_doc[order], other[order]
+    opens_doc = b.opens(at_doc)
+    room_a, room_b = a.room(), b.room()
+    opens_item = a.opens(at_item)
+    # item places by key, and within a key by the token before them
+    before = np.where(opens_item, 0, a.tokens[at_item - 1]) if len(at_item) else at_item
+    groups: dict[tuple[int, bool, int], list[int]] = {}
+    for i, k, o, t in zip(at_item.tolist(), keys.tolist(), opens_item.tolist(), before.tolist(),
+                          strict=True):
+        groups.setdefault((k, o, t), []).append(i)
+    best, found = length, []
+    for (key, opens, token), starts in groups.items():
+        lo, hi = np.searchsorted(other, T.U64(key), "left"), \
+            np.searchsorted(other, T.U64(key), "right")
+        there = at_doc[lo:hi]
+        if not opens:
+            there = there[opens_doc[lo:hi] | (b.tokens[there - 1] != T.U64(token))]
+        # a match longer than the best so far needs as much room
+        there = there[room_b[there] >= best]
+        starts = [i for i in starts if room_a[i] >= best]
+        if not starts or not len(there):
+            continue
+        step = max(1, PAIRS // len(there))
+        for p in range(0, len(starts), step):
+            for q in range(0, len(there), PAIRS):
+                part = there[q:q + PAIRS]
+                i = np.repeat(np.array(starts[p:p + step]), len(part))
+                j = np.tile(part, len(starts[p:p + step]))
+                n = _extents(a, b, i, j, np.minimum(room_a[i], room_b[j]), length)
+                top = int(n.max())
+                if top < best:
+                    continue
+                if top > best:
+                    best, found = top, []
+                found.append((i[n == top], j[n == top]))
+    if not found:
+        return 0, np.empty(0, np.int64), np.empty(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, i))
+    return best, i[order], j[order]
+
+
+def _extents(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, most: np.ndarray,
+             least: int) -> np.ndarray:
+    """How many tokens from each pair of places on are equal, ``least`` at the least."""
+    low, high = np.full(len(i), least), most.copy()
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = a.sums.of(i, middle) == b.sums.of(j, middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
 
 
 class Block:
