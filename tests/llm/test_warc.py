@@ -94,3 +94,59 @@ def test_listing_by_folder(spark, tmp_dir):
     warc.write_warc(spark.createDataFrame([(1, "u", "x")], PAGES), f"file://{tmp_dir}/w")
     files = warc.archives(spark, f"file://{tmp_dir}/w")
     assert [bytes(r.payload) for r in warc.read_warc(files).collect()] == [b"x"]
+
+
+def _member(fields, block):
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
+    return gzip.compress(f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode()
+                         + block + b"\r\n\r\n")
+
+
+def test_archive_of_http_traffic(spark, tmp_dir):
+    """An archive as crawlers write it: heads inside the block, SHA-1 in base 32."""
+    import base64
+
+    body = "<p>é</p>".encode() * 50
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    kind = {"Content-Type": "application/http; msgtype=response"}
+    members = [
+        ({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:0>",
+          "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        ({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:1>",
+          "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:2>",
+          "WARC-Payload-Digest": f"sha1:{sha1}", **kind}, http),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Payload-Digest":
+          "sha256:" + hashlib.sha256(body).hexdigest(), **kind}, http),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:4>",
+          "WARC-Payload-Digest": "sha256:" + "0" * 64, **kind}, http),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:5>",
+          "WARC-Payload-Digest": "blake3:xyz", **kind}, b"HTTP/1.0 404 Not Found\r\n\r\n"),
+        ({"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:6>"}, body)]
+    data = b"".join(_member(*m) for m in members)
+    with open(f"{tmp_dir}/crawl.warc.gz", "wb") as f:
+        f.write(data)
+    for split in (None, 200):
+        got = {r.record_id[-2]: r for r in warc.read_warc(
+            warc.archives(spark, f"file://{tmp_dir}"), split).collect()}
+        assert len(got) == len(members)
+        assert [got[k].http_status for k in "0123456"] == [None, None, 200, 200, 200, 404, None]
+        assert [got[k].digest_ok for k in "0123456"] == [None, None, True, True, False, None, None]
+        assert all(bytes(got[k].payload) == body for k in "2346")
+        assert bytes(got["5"].payload) == b"" == bytes(got["1"].payload)
+        assert got["4"].payload_digest == "sha256:" + hashlib.sha256(body).hexdigest()
+        assert got["4"].stated_digest == "sha256:" + "0" * 64
+
+
+@pytest.mark.parametrize("stated,want", [
+    ("md5:" + hashlib.md5(b"x").hexdigest(), True), ("SHA-1:" + hashlib.sha1(b"x").hexdigest(), True),
+    ("sha1:" + hashlib.sha1(b"y").hexdigest(), False), ("sha1:!!", None), ("sha1:", None), ("x", None)])
+def test_digest_forms(stated, want):
+    assert warc.digest_agrees(stated, b"x") is want
+
+
+def test_split_size_follows_the_total():
+    assert warc.split_size(0) == warc.LEAST_SPLIT
+    assert warc.split_size(100 << 40) == warc.MOST_SPLIT
+    assert warc.LEAST_SPLIT < warc.split_size(100 << 30) < warc.MOST_SPLIT

@@ -10,6 +10,12 @@ WARC record with an id and a length), and owns the records that *start* inside
 its range; the last one may end beyond it.  Ranges need no index, and a range
 without a record start yields nothing.
 
+A record of HTTP traffic (``application/http``) holds the message's head and
+body; its payload is the body as recorded (content and transfer codings are left
+as they are), and that is what ``WARC-Payload-Digest`` covers.  A digest that is
+stated by SHA-256, SHA-1 or MD5, in hexadecimal or base 32, is compared; whether
+it agrees is a column, and a record whose digest differs is read like any other.
+
 Files are opened through ``pyarrow.fs``, so the folder may be a shared mount,
 HDFS or an object store.
 
@@ -22,6 +28,7 @@ columns are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -36,7 +43,8 @@ from pyspark.sql import functions as F
 from trackml.llm import text as T
 from trackml.llm.scratch import Scratch
 
-SPLIT_BYTES = 4 << 20
+#: least and most bytes of a range; between them about ``RANGES`` cover the archives
+LEAST_SPLIT, MOST_SPLIT, RANGES = 4 << 20, 128 << 20, 2000
 FILE_BYTES = 256 << 20
 MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 16
@@ -155,7 +163,8 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 _RECORD = ("record_type string, record_id string, target_uri string, refers_to string, "
-           "payload_digest string, payload_length long, payload binary, path string, start long")
+           "payload_digest string, payload_length long, payload binary, path string, start long, "
+           "http_status int, stated_digest string, digest_ok boolean")
 
 
 class _Reader:
@@ -239,6 +248,50 @@ def records(source, start: int, end: int) -> Iterator[tuple[int, dict[str, str],
         yield at, fields, data[begin:begin + int(fields["content-length"])]
 
 
+def http_parts(block: bytes) -> tuple[int | None, bytes]:
+    """Status (None for a request) and body of an HTTP message."""
+    head, mark, body = block.partition(b"\r\n\r\n")
+    if not mark:
+        head, _, body = block.partition(b"\n\n")
+    status = re.match(rb"HTTP/[\d.]+ +(\d{3})", head)
+    return (int(status[1]) if status else None), body
+
+
+#: digest names of the format and how many bytes they have
+_DIGESTS = {"sha256": 32, "sha-256": 32, "sha1": 20, "sha-1": 20, "md5": 16}
+
+
+def digest_agrees(stated: str, payload: bytes) -> bool | None:
+    """Whether a stated digest is the payload's; None if its form is not known."""
+    name, _, value = stated.strip().partition(":")
+    size = _DIGESTS.get(name.lower())
+    if size is None:
+        return None
+    try:
+        want = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(
+            value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    found = hashlib.new(name.lower().replace("-", ""), payload, usedforsecurity=False).digest()
+    return want == found if len(want) == size else None
+
+
+def _row(fields: dict[str, str], block: bytes, path: str, at: int) -> tuple:
+    stated, length = fields.get("warc-payload-digest"), fields.get("x-payload-length", "")
+    kind, status, payload = fields.get("warc-type"), None, block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        status, payload = http_parts(block)
+    agrees = None
+    if kind == "revisit":
+        digest = stated
+    else:
+        digest, length = f"sha256:{hashlib.sha256(payload).hexdigest()}", str(len(payload))
+        agrees = digest_agrees(stated, payload) if stated is not None else None
+    return (kind, fields["warc-record-id"], fields.get("warc-target-uri"),
+            fields.get("warc-refers-to"), digest, int(length) if length.isdigit() else None,
+            payload, path, at, status, stated, agrees)
+
+
 def _read(batches):
     for batch in batches:
         for row in batch.to_pylist():
@@ -246,17 +299,7 @@ def _read(batches):
             with fs.open_input_file(path) as source:
                 rows, size = [], 0
                 for at, fields, block in records(source, row["start"], row["end"]):
-                    digest = fields.get("warc-payload-digest")
-                    length = fields.get("x-payload-length", "")
-                    if fields.get("warc-type") != "revisit":
-                        found = hashlib.sha256(block).hexdigest()
-                        if (digest or "").startswith("sha256:") and digest != f"sha256:{found}":
-                            raise ValueError(f"{row['path']} at {at}: payload digest differs")
-                        digest, length = f"sha256:{found}", str(len(block))
-                    rows.append((fields.get("warc-type"), fields["warc-record-id"],
-                                 fields.get("warc-target-uri"), fields.get("warc-refers-to"),
-                                 digest, int(length) if length.isdigit() else None, block,
-                                 row["path"], at))
+                    rows.append(_row(fields, block, row["path"], at))
                     size += len(block)
                     if size >= 4 << 20:
                         yield _batch(rows)
@@ -265,24 +308,33 @@ def _read(batches):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64()]
+    types = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32(),
+                                 pa.string(), pa.bool_()]
     names = [c.split()[0] for c in _RECORD.split(", ")]
     cols = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)],
                            names=names)
 
 
-def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def split_size(total: int) -> int:
+    """Bytes of a range for archives of ``total`` bytes."""
+    return min(MOST_SPLIT, max(LEAST_SPLIT, -(-total // RANGES)))
+
+
+def read_warc(files: DataFrame, split_bytes: int | None = None) -> DataFrame:
     """All records of the archives in ``files`` (path, length), one row each.
 
-    Every range is a task of its own; ranges are far fewer than records, so
-    their number is counted first.
+    There are as many tasks as ranges, and ranges are dealt to them by hash: a
+    task reads a few ranges, one after another, or none.  The size of a range
+    follows from the archives' total (:func:`split_size`) unless it is given.
     """
+    total = files.agg(F.sum("length")).first()[0] or 0
+    split_bytes = split_bytes or split_size(total)
+    count = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
     pieces = files.where("length > 0").select("path", "length", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
         .alias("start")).select("path", "start", F.least(
             "length", F.col("start") + split_bytes).alias("end"))
-    count = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
     return pieces.repartition(int(count), "path", "start").mapInArrow(_read, _RECORD)
 
 
