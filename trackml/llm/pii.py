@@ -237,11 +237,11 @@ _FAMILY = "CASE WHEN kind LIKE 'given%' OR kind = 'surname' THEN 'name' ELSE kin
 
 def surrogates(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, sur``, one row per entity, all surrogates of a kind distinct and new."""
+    real = scratch.put("real", entities.distinct())
     # spread by count: the expressions cost far more than the rows' bytes tell
     tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    real = scratch.put("real", entities.distinct().repartition(tasks, "kind", "norm"))
     known = scratch.put("try0", _with_surrogates(
-        real.withColumn("attempt", F.lit(0)), key))
+        real.withColumn("attempt", F.lit(0)).repartition(tasks, "kind", "norm"), key))
     family = F.expr(_FAMILY).alias("family")
     for attempt in range(1, MAX_ATTEMPTS + 1):
         first = known.groupBy(family, "sur").agg(F.min(F.struct("norm", "kind")).alias("owner"))
