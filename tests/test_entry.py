@@ -12,7 +12,8 @@ FAST = ["track_join", "year_join", "subset_counts", "subset_label_counts", "text
         "assembled_features", "label_index", "feature_categories", "indexed_features",
         "label_decode_roundtrip", "key_split", "fold_counts", "logreg_default_predictions",
         "accuracy_test_error", "sample_predictions", "embedding_logreg_accuracy", "ols_year",
-        "regression_metrics", "tree_depth2", "quarantined_rows"]
+        "regression_metrics", "tree_depth2", "tree_cv",
+        "quarantined_rows"]
 # logreg_cv_grid's twin assumes every grid point keeps zero coefficients on every
 # fold; that holds at sf0.01 (the driver's check) but not at sf0.001 for
 # regParam 0.1 / elasticNet 0.2, so it is not compared here.  The CV metric

@@ -439,6 +439,16 @@ def tree_depth2(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def tree_cv(spark, sf_dir):
+    """G2 + G3 + G4 + A7 for trees: depth and impurity grid over key folds, no sampling."""
+    est = models.random_forest(1, feature_subset_strategy="all", max_bins=TREE_BINS,
+                               bootstrap=False)
+    grid = tuning.forest_grid(est, [1], [TREE_BINS], [1, 2], models.CLASSIFIER_IMPURITIES, ["all"])
+    run = jobs.run_genre_cv(_price_banded(spark, sf_dir, "priority"), est, grid,
+                            tuning.FOREST_GRID_PARAMS, CV_FOLDS)
+    return run.cv_results.select("grid_id", *tuning.FOREST_GRID_PARAMS, rounded("avg_metric", 8))
+
+
 def _saturated_cv(spark, sf_dir):
     return jobs.run_genre_logreg_cv(_banded(spark, sf_dir), max_iter=[100], reg_param=[0.5, 0.0],
                                     elastic_net=[0.0, 1.0], num_folds=CV_FOLDS)
@@ -593,6 +603,7 @@ QUERIES = {
     "logreg_saturated": logreg_saturated,
     "forest_stump": forest_stump,
     "tree_depth2": tree_depth2,
+    "tree_cv": tree_cv,
     "logreg_cv_saturated": logreg_cv_saturated,
     "best_params_saturated": best_params_saturated,
     "cv_test_error_saturated": cv_test_error_saturated,

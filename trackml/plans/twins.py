@@ -203,7 +203,9 @@ IMPURITY = {"gini": "1 - sum(({c} / {n}) * ({c} / {n}))",
             "entropy": "-sum(CASE WHEN {c} > 0 THEN ({c} / {n}) * ln({c} / {n}) / ln(2) ELSE 0 END)"}
 
 
-def _tree(target: str, impurity: str, depth: int = 2) -> str:
+def _tree(target: str, impurity: str, depth: int = 2, learn: str = "subset = 'TRAIN'",
+          judge: str = "subset = 'TEST'") -> str:
+    """Predictions on the rows of ``judge`` by the tree learnt on the rows of ``learn``."""
     features = TREE_FEATURES[target]
     label = "label" if target == "priority" else BAND
     values = " UNION ALL ".join(
@@ -217,7 +219,7 @@ kidx AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS
 n0 AS (SELECT b0.*, kidx.k, 1 AS node FROM b0 JOIN kidx ON kidx.label = b0.label),
 v0 AS ({values.format(nodes='n0')}),
 few AS (SELECT f FROM v0 GROUP BY f HAVING count(DISTINCT v) <= 4),
-tv AS (SELECT DISTINCT f, v FROM v0 WHERE subset = 'TRAIN'),
+tv AS (SELECT DISTINCT f, v FROM v0 WHERE {learn}),
 cat AS (SELECT f, list_sort(list(DISTINCT v)) AS vs FROM v0
         WHERE f IN (SELECT f FROM few) GROUP BY f),
 split AS (
@@ -234,7 +236,7 @@ split AS (
     for d in range(depth):
         parts.append(f"""
 h{d} AS (SELECT node, f, v, k, count(*) AS c FROM ({values.format(nodes=f'n{d}')}) x
-         WHERE subset = 'TRAIN' GROUP BY node, f, v, k),
+         WHERE {learn} GROUP BY node, f, v, k),
 c{d} AS (SELECT h.node, h.f, s.s, any_value(s.cut) AS cut, any_value(s.own) AS own, h.k,
                 CAST(sum(CASE WHEN h.v <= s.cut OR list_contains(s.own, h.v)
                               THEN c ELSE 0 END) AS DOUBLE) AS l,
@@ -260,11 +262,26 @@ n{d + 1} AS (
     parts.append(f"""
 leaf AS (SELECT node, label FROM (
   SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, k) AS rn
-  FROM n{depth} WHERE subset = 'TRAIN' GROUP BY node, label, k) x WHERE rn = 1)""")
+  FROM n{depth} WHERE {learn} GROUP BY node, label, k) x WHERE rn = 1)""")
     return f"""SELECT * FROM ({_with(FIXTURE, *parts)}
 SELECT '{target}' AS target, '{impurity}' AS impurity, n.track_id, n.label,
        leaf.label AS predicted_label
-FROM n{depth} n JOIN leaf ON leaf.node = n.node WHERE n.subset = 'TEST') q"""
+FROM n{depth} n JOIN leaf ON leaf.node = n.node WHERE {judge}) q"""
+
+
+def _tree_cv() -> str:
+    """Mean fold accuracy of depth and impurity; folds are the key's remainder by three."""
+    points = []
+    for i, (depth, impurity) in enumerate((d, m) for d in (1, 2) for m in IMPURITY):
+        folds = " UNION ALL ".join(
+            "SELECT avg(CASE WHEN label = predicted_label THEN 1.0 ELSE 0.0 END) AS acc FROM ("
+            + _tree("priority", impurity, depth, f"subset = 'TRAIN' AND track_id % 3 <> {k}",
+                    f"subset = 'TRAIN' AND track_id % 3 = {k}") + f") f{k}" for k in range(3))
+        points.append(f"""SELECT CAST({i} AS INTEGER) AS grid_id, CAST(1 AS DOUBLE) AS "numTrees",
+  CAST(512 AS DOUBLE) AS "maxBins", CAST({depth} AS DOUBLE) AS "maxDepth",
+  '{impurity}' AS impurity, 'all' AS "featureSubsetStrategy",
+  round(avg(acc), 8) AS avg_metric FROM ({folds}) p""")
+    return "\nUNION ALL ".join(points)
 
 
 def _with(*parts: str) -> str:
@@ -356,6 +373,7 @@ SELECT * FROM results ORDER BY avg_metric DESC, grid_id LIMIT 1""",
     "forest_stump": _with(FIXTURE, BANDED) + "SELECT * FROM pred",
     "tree_depth2": "\nUNION ALL ".join(_tree(target, impurity) for target in TREE_FEATURES
                                        for impurity in IMPURITY),
+    "tree_cv": _tree_cv(),
     "logreg_cv_saturated": _with(FIXTURE, BANDED) + "SELECT * FROM bresults",
     "best_params_saturated": _with(FIXTURE, BANDED) + """
 SELECT * FROM bresults ORDER BY avg_metric DESC, grid_id LIMIT 1""",
