@@ -22,7 +22,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep batches of whole texts small, for the memory of executors."""
-    if spark.conf.get(_BATCH) == "10000":
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
