@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trackml.functions.columns import rounded
 from trackml.operators import certify, evaluate, indexing, models, prepare, tuning
 from trackml.plans import experiments, jobs
-from trackml.session import checkpoint_root, stage_path
+from trackml.session import checkpoint_root, release, stage_path
 from trackml.sources import files, fixtures
 from trackml.sources.files import KEY, LABEL, SUBSET
 
@@ -262,6 +262,7 @@ def coefficients(spark, sf_dir):
     """M4: coefficient matrix and intercepts of the default LogReg (rows)."""
     run = _logreg_run(spark, sf_dir)
     lr = models.estimator_stage(run.model)
+    run.release()
     return models.coefficient_rows(spark, lr, run.label_model.labels, run.feature_names)
 
 
@@ -358,7 +359,9 @@ def _metric_columns(df):
 def logreg_cv_grid(spark, sf_dir):
     """G1 + G3 + G4 + A7: LogReg grid, 3 key folds, average and spread of
     fold accuracy per point (SQL*)."""
-    return _metric_columns(_logreg_cv(spark, sf_dir).cv_results)
+    run = _logreg_cv(spark, sf_dir)
+    run.release()
+    return _metric_columns(run.cv_results)
 
 
 def best_params(spark, sf_dir):
@@ -374,6 +377,7 @@ def logreg_cv_test_error(spark, sf_dir):
 def forest_cv(spark, sf_dir):
     """G2 + G3 + G4 for the forest grid (rows)."""
     run = jobs.run_genre_forest_cv(_orders(spark, sf_dir), num_folds=CV_FOLDS, **FOREST_CV_GRID)
+    run.release()
     return run.cv_results
 
 
@@ -446,6 +450,7 @@ def tree_cv(spark, sf_dir):
     grid = tuning.forest_grid(est, [1], [TREE_BINS], [1, 2], models.CLASSIFIER_IMPURITIES, ["all"])
     run = jobs.run_genre_cv(_price_banded(spark, sf_dir, "priority"), est, grid,
                             tuning.FOREST_GRID_PARAMS, CV_FOLDS)
+    run.release()
     return run.cv_results.select("grid_id", *tuning.FOREST_GRID_PARAMS, rounded("avg_metric", 8))
 
 
@@ -457,7 +462,9 @@ def _saturated_cv(spark, sf_dir):
 def logreg_cv_saturated(spark, sf_dir):
     """G1 + G3 + G4 + A7 with grid points that differ: a strong penalty predicts
     the majority, none predicts each category's majority."""
-    return _saturated_cv(spark, sf_dir).cv_results.select(
+    run = _saturated_cv(spark, sf_dir)
+    run.release()
+    return run.cv_results.select(
         "grid_id", *tuning.LOGREG_GRID_PARAMS, rounded("avg_metric", 8))
 
 
@@ -487,6 +494,7 @@ def logreg_certificate(spark, sf_dir):
     """M1 + M4: every weight and intercept meets the optimality conditions."""
     run, model, train = _converged_logreg(spark, sf_dir)
     found = certify.certify_logistic(train, model, *LOGREG_PENALTY)
+    run.release()  # what is returned no longer reads the staged rows
     return certify.certificate_rows(spark, found, run.label_model.labels, run.feature_names)
 
 
@@ -503,6 +511,7 @@ def ols_year_all(spark, sf_dir):
     rows = [(n, float(w * s)) for n, w, s in
             zip(names, model.coefficients.toArray(), spread, strict=True)]
     rows.append(("(intercept)", float(model.intercept)))
+    release(prepared)
     out = spark.createDataFrame(rows, "feature string, weight double")
     return out.select("feature", rounded("weight", 6))
 
@@ -519,6 +528,7 @@ def year_certificate(spark, sf_dir):
         found = certify.certify_linear(prepared, model, *penalty)
         parts.append(certify.certificate_rows(spark, found, [name], names).withColumnRenamed(
             LABEL, "penalty"))
+    release(prepared)
     return parts[0].unionByName(parts[1])
 
 
@@ -538,6 +548,8 @@ def objective_certificate(spark, sf_dir):
         history = list(fitted.summary.objectiveHistory)
         rows.append((name, n, certify.history_agrees(history, found.objective),
                      0 < int((weights != 0).sum()) < weights.size))
+    run.release()
+    release(prepared)
     return spark.createDataFrame(
         rows, "model string, n_rows bigint, agrees boolean, sparse boolean")
 
