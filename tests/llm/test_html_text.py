@@ -90,6 +90,12 @@ CASES = [
     ("<article><header><h1>T</h1><p>By A. B.</p></header>x</article>", "T\n\nx"),
     ("<article><table><tr><td>c1<td>c2<tr><td>c3</table></article>", "c1\n\nc2\n\nc3"),
     ("<article>x<textarea><p>y</p></textarea>z</article>", "xz"),
+    ("<article class='post category-notices related'>x</article>", "x"),
+    ("<main>a<article class='comment even'>b</article></main>", "a"),
+    ("<article>a<div class='elementor-widget-container'>b</div><div class='widget x'>c</div>",
+     "a\n\nb"),
+    ("<article>a<div class='the-social-sciences'>b</div><div class='share-buttons'>c</div>",
+     "a\n\nb"),
     ("<form id=all><article>inside a page-wide form</article></form>", "inside a page-wide form"),
 ]
 

@@ -97,7 +97,9 @@ NAMES = frozenset("ad ads banner consent dialog disqus footer gdpr legal login m
                   "nav navigation notice notices notification notifications overlay pager "
                   "pagination paywall popup promo promos promotion recommended related replies "
                   "respond share sharing signup skip social subscribe subscription teaser toolbar "
-                  "topbar widget widgets".split())
+                  "topbar".split())
+#: ... and one that counts as the first word only, as page builders use it for all they build
+FIRST = frozenset("widget widgets".split())
 STEMS = ("adsbox", "advert", "breadcrumb", "comment", "cookie", "copyright", "disclaimer", "navbar",
          "newsletter", "sidebar", "sponsor")
 #: first words of names that tell what a container is like and not what it is
@@ -180,10 +182,14 @@ def surroundings(tag: str, attributes: dict[str, str]) -> int:
             or "visibility:hidden" in style or attributes.get("aria-hidden", "").lower() == "true":
         return 2
     words = [w for w in names(attributes) if w and w[0] not in LIKE]
+    if marks(tag, attributes) >= 2:
+        # an article's classes tell its subject; only a comment is told by them
+        return 2 if any(w[0].startswith("comment") for w in words) else 0
     if any(x.startswith("comment") for w in words for x in w):
         return 2
-    if tag in AROUND_WEAK or attributes.get("role", "").lower() in ROLES \
-            or any(x in NAMES or x.startswith(STEMS) for w in words for x in w):
+    if tag in AROUND_WEAK or attributes.get("role", "").lower() in ROLES or any(
+            w[0] in NAMES or w[-1] in NAMES or w[0] in FIRST
+            or any(x.startswith(STEMS) for x in w) for w in words):
         return 1
     return 0
 
