@@ -1,8 +1,8 @@
 """Joins whose hot keys are dealt over many tasks, inside the lazy plan.
 
-``hot_keys`` measures the sides' join keys by one mergeable frequent-items
-sketch per side: the key column alone is scanned, nothing is shuffled by key,
-and the result is bounded.  For each hot key the rows of its largest side are
+``hot_keys`` measures the sides' join keys in one job, by a mergeable
+frequent-items sketch per side: the key columns alone are scanned, nothing is
+shuffled by key, and the result is bounded.  For each hot key the rows of its largest side are
 dealt over a number of parts, and the other sides' rows of that key are
 repeated once for each part.  The sides are then joined on (key, part) in one
 stage as before.  No session setting is involved; without a hot key the plan is
@@ -12,6 +12,7 @@ the plain join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +45,18 @@ def hot_keys(sides: list[DataFrame], key: str, share: float = HOT_SHARE,
     """
     if share < 1 / REPORTED:
         raise ValueError(f"share must be {1 / REPORTED} or more, for at most {REPORTED} hot keys")
+    keys = [s.select(F.lit(i).alias("side"), F.col(key).alias("k")) for i, s in enumerate(sides)]
+    measured = reduce(DataFrame.union, keys).groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"approx_top_k(k, {REPORTED}, {TRACKED})").alias("top"))
     found: dict[object, tuple[int, int, int]] = {}
-    for i, side in enumerate(sides):
-        r = side.agg(F.count(F.lit(1)).alias("n"), F.expr(
-            f"approx_top_k(`{key}`, {REPORTED}, {TRACKED})").alias("top")).first()
+    for r in measured.orderBy("side").collect():
         chunk = max(ceil(r["n"] * share), min_rows, 1)
         for t in r["top"]:
             if t["item"] is None or t["count"] <= chunk:
                 continue
             if t["count"] > found.get(t["item"], (0,))[0]:
-                found[t["item"]] = (t["count"], i, ceil(t["count"] / chunk))
+                found[t["item"]] = (t["count"], r["side"], ceil(t["count"] / chunk))
     return [HotKey(k, side, parts) for k, (_, side, parts) in found.items()]
 
 
