@@ -123,3 +123,55 @@ def test_a_very_long_labelled_text_does_not_end_the_sample(spark):
     again = labelled.within(df.where("n = 10"), "n", 1500)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in again.collect()}
     assert labelled.within(df.limit(0), "n", 5).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """A word that only labelled documents late in hash order hold is learned, too."""
+    order = [r[0] for r in spark.range(1, 12001).orderBy(F.xxhash64("id"), "id").collect()]
+    free = [i for i in order if zlib.crc32(str(i).encode()) % 4 != 2][:8800]
+    texts, marks = [], []
+    for place, i in enumerate(free):
+        toxic = place % 2
+        word = ("blorb" if place >= 8000 else "foul") if toxic else "fine"
+        texts.append((i, f"some plain {word} words here {i % 97}"))
+        marks.append((i, 0, toxic))
+    asked = [(20001, "some plain blorb words here"), (20002, "some plain fine words here")]
+    df, labels = make_docs(spark, texts + asked), spark.createDataFrame(marks, LABELS)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, labels).where("doc_id > 20000").collect()}
+    assert got == {20001: 1, 20002: 0}
+
+
+def test_toxicity_learns_from_very_long_texts_and_any_layout(spark, monkeypatch):
+    from trackml.llm.scratch import Scratch
+
+    rows = [(i, f"plain words number {i % 7} " + ("bad bad word" if i % 3 == 0 else "good")) for i in range(400)]
+    rows += [(1000 + i, "plain words " * 40000 + "zork") for i in range(4)]
+    labels = spark.createDataFrame([(d, 0, int("bad" in t or "zork" in t)) for d, t in rows], LABELS)
+    df = make_docs(spark, rows)
+    free = [t for d, t in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    found = toxicity.staged(df, labels, "toxic", Scratch(spark, "test"))
+    assert sorted(len(r.ids) for r in found.collect()) == sorted(6 * len(t.split()) for t in free)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    few, many = (toxicity.score(d, labels).orderBy("doc_id").collect()
+                 for d in (df.coalesce(1), df.repartition(7)))
+    assert few == many and len({r.predicted for r in few}) == 2
+
+
+def test_peaks_do_not_depend_on_pieces():
+    rng = np.random.default_rng(7)
+    taps = rng.normal(0, 1, (40, toxicity.TAPS)).astype("f4")
+    first = np.array([0, 3, 3, 20, 21, 40])
+    r = toxicity.responses(taps, first)
+    want = toxicity.largest(r, first)
+    for piece in (1, 2, 7, 100):
+        top, where = toxicity.peaks(lambda lo, hi: taps[lo:hi], first, piece)
+        assert np.allclose(top, want)
+        full = np.diff(first) > 0
+        assert np.allclose(np.take_along_axis(r, where[full], axis=0), want[full])
+
+
+def test_counted_logits_give_the_cut_of_the_single_rows():
+    z = np.array([2.0, 2.0, 1.0, 1.0, 1.0, 0.0])
+    y = np.array([1.0, 1.0, 1.0, 0.0, 0.0, 0.0])
+    assert toxicity.best_cut(np.array([2.0, 1.0, 0.0]), np.array([2.0, 1.0, 0.0]),
+                             np.array([2.0, 3.0, 1.0])) == toxicity.best_cut(z, y)

@@ -1,4 +1,4 @@
-"""Labelled rows for training: who may be learned from, and a bounded sample."""
+"""Labelled rows for training: who may be learned from, and bounded samples."""
 
 from __future__ import annotations
 
@@ -13,15 +13,20 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``doc_id, label, fold`` of at most ``rows`` documents of each class, never held out.
+def usable(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, label, fold`` of every document of class 0 or 1, never held out.
 
-    The choice follows a hash of the id.  Rows without id or label are left
-    out; a document with both labels counts as 1.
+    Rows without id or label are left out; a document with both labels counts as 1.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
-    own = own.withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
+    return own.withColumn("fold", fold()).where(
+        (F.col("fold") != HELD_OUT) & F.col("label").isin(0, 1))
+
+
+def sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` documents of each class of :func:`usable`, by a hash of the id."""
+    own = usable(labels, label)
     parts = [own.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
              for c in (0, 1)]
     return parts[0].union(parts[1])
