@@ -220,6 +220,38 @@ def test_listed_and_manifest_uris_compare_by_path(spark):
     assert {r[0] for r in df.select(experiments._strip_scheme(df.u)).collect()} == {"/t/a.csv"}
 
 
+def test_sweep_shares_features_counts_and_indexers(spark, tmp_dir, monkeypatch):
+    """A feature set is packed and staged once for genre and year groups; a group's
+    counts and category indexer are taken once for all its runs."""
+    from trackml.operators import indexing, prepare
+    from trackml.plans import jobs
+
+    calls = []
+
+    def counting(module, name):
+        real = getattr(module, name)
+
+        def call(*args, **kw):
+            calls.append(name)
+            return real(*args, **kw)
+        monkeypatch.setattr(module, name, call)
+
+    counting(prepare, "pack_features")
+    counting(jobs, "subset_label_counts")
+    counting(indexing, "fit_feature_indexer")
+    base = {"feature_set": "orders", "features_path": "f", "labels_path": "x"}
+    genre = dict(base, label_set="orders", split_set="orders", splits_path="x")
+    year = dict(base, label_set="orders_year", algorithm="year")
+    m = experiments.manifest_from_rows(spark, [
+        dict(genre, run_id=0, algorithm="logreg"),
+        dict(genre, run_id=1, algorithm="forest", num_trees=2),
+        dict(year, run_id=2), dict(year, run_id=3, reg_param=0.01)])
+    rows = {r.run_id: r for r in experiments.run_sweep(spark, m, SF_SMALL).collect()}
+    assert [rows[i].status for i in range(4)] == ["done"] * 4, [r.error for r in rows.values()]
+    assert round(rows[0].accuracy, 6) == 0.184932 and rows[2].n_test == rows[3].n_test > 0
+    assert sorted(calls) == ["fit_feature_indexer", "pack_features", "subset_label_counts"]
+
+
 # ---------------------------------------------------------------- results table
 
 def _two_runs(spark):

@@ -331,44 +331,65 @@ def _input_key(sf_dir, r):
     return ("genre", r["feature_set"], r["label_set"], r["split_set"])
 
 
-def _prepare_group(spark, sf_dir, r, parsed: dict, slot: str):
-    """Driver-side, once per input group: year inputs, or the staged genre input
-    (one slot per sweep, overwritten by the next group: runs are ordered by
-    input, so the previous group is finished)."""
+class _Features:
+    """The packed, staged features of one feature set: groups are ordered by it,
+    so the table of the set before is released when another one comes."""
+
+    def __init__(self):
+        self.key, self.packed = None, None
+
+    def get(self, key, features: DataFrame) -> tuple[DataFrame, list[str]]:
+        if self.packed is None or self.key != key:
+            self.release()
+            self.key, self.packed = key, jobs.stage_features(features, "sweep")
+        return self.packed
+
+    def release(self) -> None:
+        if self.packed is not None:
+            release(self.packed[0])
+        self.packed = None
+
+
+def _prepare_group(spark, sf_dir, r, parsed: dict, slot: str, features: _Features):
+    """Driver-side, once per input group: the staged input and, for genre runs,
+    its counts and category indexer (one slot per sweep, overwritten by the next
+    genre group: runs are ordered by input, so the previous group is finished)."""
     inputs = _inputs(spark, sf_dir, r, parsed)
+    packed = features.get(r["features_path"] if sf_dir is None else r["feature_set"],
+                          inputs["features"])
     if r["algorithm"] == "year":
-        return inputs
-    return jobs.prepare_genre(inputs, name="sweep", path=slot)
+        return jobs.prepare_year(inputs["labels"], inputs["features"], name="sweep_year",
+                                 packed=packed), None
+    prepared = jobs.prepare_genre(inputs, name="sweep", path=slot, packed=packed)
+    return prepared, jobs.measure_genre(prepared[0])
 
 
-def _run_one(r, prepared):
+def _run_one(r, prepared, measured):
     algo = r["algorithm"]
     if algo == "year":
-        run = jobs.run_year(prepared["labels"], prepared["features"], r["max_iter"],
-                            r["reg_param"], r["elastic_net"], r["train_split"])
-        try:
-            m, t = run.test_metrics().first(), run.training_metrics().first()
-        finally:
-            run.release()
+        run = jobs.run_year(None, None, r["max_iter"], r["reg_param"], r["elastic_net"],
+                            r["train_split"], prepared=prepared)
+        m, t = run.test_metrics().first(), run.training_metrics().first()
         return {"n_train": None, "n_test": m["n_rows"], "rmse": m["rmse"], "r2": m["r2"],
                 "train_rmse": t["rmse"], "train_r2": t["r2"],
                 "iterations": t["total_iterations"]}
     if algo == "logreg":
         est = models.logistic_regression(r["max_iter"], r["reg_param"], r["elastic_net"])
-        run = jobs.run_genre(None, est, prepared=prepared)
+        run = jobs.run_genre(None, est, prepared=prepared, measured=measured)
     elif algo == "forest":
         est = models.random_forest(r["num_trees"], r["max_depth"], r["feature_subset_strategy"],
                                    r["impurity"], max_bins=r["max_bins"])
-        run = jobs.run_genre(None, est, prepared=prepared)
+        run = jobs.run_genre(None, est, prepared=prepared, measured=measured)
     elif algo == "logreg_cv":
         run = jobs.run_genre_logreg_cv(None, _grid(r, "max_iter"), _grid(r, "reg_param"),
                                        _grid(r, "elastic_net"), num_folds=r["num_folds"],
-                                       prepared=prepared)
+                                       prepared=prepared, measured=measured)
     else:
         run = jobs.run_genre_forest_cv(None, _grid(r, "num_trees"), _grid(r, "max_depth"),
                                        _grid(r, "max_bins"), _grid(r, "impurity"),
                                        _grid(r, "feature_subset_strategy"),
-                                       num_folds=r["num_folds"], prepared=prepared)
+                                       num_folds=r["num_folds"], prepared=prepared,
+                                       measured=measured)
     a = run.accuracy().first()
     out = {"n_train": a["n_train"], "n_test": a["n_test"], "accuracy": a["accuracy"],
            "test_error": a["test_error"]}
@@ -385,10 +406,10 @@ def _error_text(exc: Exception) -> str:
     return "".join(traceback.format_exception_only(type(exc), exc)).strip()
 
 
-def _execute(r, prepared, base: dict) -> dict:
+def _execute(r, prepared, measured, base: dict) -> dict:
     start = time.perf_counter()
     try:
-        base.update(_run_one(r, prepared))
+        base.update(_run_one(r, prepared, measured))
         base["status"] = "done"
     except Exception as exc:  # one bad experiment must not stop the sweep
         base["status"] = "failed"
@@ -424,8 +445,9 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
 
     Inputs are the fixture tables of ``sf_dir`` named by the set columns, or,
     without ``sf_dir``, the files named by the path columns; each file is
-    parsed once per sweep.  Runs are grouped by input: a group's joined input
-    is staged once, then up to ``parallelism`` of its runs train at the same
+    parsed once per sweep.  Runs are grouped by input: a feature set is packed
+    and staged once for all its groups, a group's joined input is staged,
+    counted and indexed once, then up to ``parallelism`` of its runs train at the same
     time (driver threads submitting distributed jobs; one small experiment
     alone leaves most of a large cluster idle).
     A failing run records its error and the sweep goes on.  With
@@ -448,6 +470,7 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
     finished = _recorded(spark, results_path, [run_key(r) for r in rows])
     slot = stage_path(spark, "sweep")
     parsed: dict = {}
+    features = _Features()
     out = []
 
     attempt = results.new_attempt()
@@ -477,17 +500,20 @@ def run_sweep(spark: SparkSession, manifest: DataFrame, sf_dir: str | None = Non
             if not ready:
                 continue
             try:
-                prepared = _prepare_group(spark, sf_dir, ready[0], parsed, slot)
+                prepared, measured = _prepare_group(spark, sf_dir, ready[0], parsed, slot, features)
             except Exception as exc:
                 for r in ready:
                     record(dict(bases[r["run_id"]], status="failed", error=_error_text(exc)))
                 continue
-            futures = [pool.submit(inheritable_thread_target(spark)(_execute), r, prepared,
+            futures = [pool.submit(inheritable_thread_target(spark)(_execute), r, prepared, measured,
                                    bases[r["run_id"]]) for r in ready]
             for fut in as_completed(futures):
                 record(fut.result())
-            if isinstance(prepared, tuple):
+            if ready[0]["algorithm"] == "year":
+                release(prepared[0])
+            else:
                 last_staged = prepared[0]
+    features.release()
     # the sweep's own staged tables: the last joined input and the parsed files
     for staged in ([last_staged] if last_staged is not None else []) + list(parsed.values()):
         release(staged)
